@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, mixing, packing, simhash
+from weftgraph.llm import chat, matroska, mixing, outliers, packing, pu_quality, simhash, superkmer, toxicity
 
 
 def tokenizer_path() -> str:
@@ -76,10 +76,58 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = toxicity.outside_fold(4, 2)
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return scored.select("doc_id", (~training).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = superkmer.dedup_substrings(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP6_SQL = r"""
+WITH w AS (SELECT doc_id, u.w, u.p FROM documents, LATERAL (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w,
+    generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS p) u),
+win AS (SELECT doc_id, p, w, string_agg(w, ' ') OVER s AS k, count(*) OVER s AS n FROM w
+  WINDOW s AS (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)),
+least AS (SELECT k, min(doc_id) AS first FROM win WHERE n = 13 GROUP BY k),
+gone AS (SELECT DISTINCT win.doc_id, win.p + j AS p FROM win JOIN least USING (k), range(13) r(j) WHERE n = 13 AND first < win.doc_id),
+kept AS (SELECT w.doc_id, count(*) AS n_words, count(gone.p) AS n_removed,
+    string_agg(w.w, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS text
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    training = toxicity.outside_fold(3, 1)
+    scored = pu_quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), training)
+    predicted = (F.col("score") >= pu_quality.THRESHOLD).cast("int")
+    return scored.select("doc_id", (~training).alias("held_out"), "score", predicted.alias("predicted"))
+
+
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.media_digests(matroska.to_media(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
+    "op7_quality_classifier": op7_quality_classifier,
+    "op8_matroska": op8_matroska,
     "op9_simhash": op9_simhash,
 }
-SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL}
+SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}
