@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm import chat, matroska, mixing, outliers, packing, pu_quality, simhash, superkmer, toxicity
+from weftgraph.llm import chat, fuzzy_lines, matroska, mixing, outliers, packing, pu_quality, simhash, superkmer, toxicity
 
 
 def tokenizer_path() -> str:
@@ -119,6 +119,10 @@ def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_digests(matroska.to_media(table(spark, sf_dir, "documents")))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_mixing": op2_mixing,
@@ -129,5 +133,6 @@ QUERIES = {
     "op7_quality_classifier": op7_quality_classifier,
     "op8_matroska": op8_matroska,
     "op9_simhash": op9_simhash,
+    "op10_line_dedup": op10_line_dedup,
 }
 SQL = {"op1_chat_formatting": OP1_SQL, "op2_mixing": OP2_SQL, "op6_substring_dedup": OP6_SQL}

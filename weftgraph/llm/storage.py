@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,3 +38,9 @@ class Written:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     return Written(df, name).read()
+
+
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner drop shuffle files of finished steps, which it does as plans are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -109,22 +109,47 @@ def fit(texts: list[str | None], labels: np.ndarray, shares: tuple[float, float]
     return Model(weights, float(b), orders)
 
 
-def scorer(model: Model, out: str = "score"):
-    """A mapInArrow function: (doc_id, text, ...) to the other columns and the score."""
+def scores(column: pa.Array, model: Model, weights: np.ndarray) -> np.ndarray:
+    score = np.zeros(len(column))
+    for first, after, text, bucket in present(column, model.orders, weights != 0):
+        z = np.bincount(text, weights[bucket], after - first) + model.bias
+        score[first:after] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return score
+
+
+def sparse(model: Model) -> tuple[Model, np.ndarray, np.ndarray]:
+    """The model without its table of weights, and the buckets that have one, to send to executors."""
     hit = np.flatnonzero(model.weights)
-    values = model.weights[hit]
+    return model._replace(weights=np.zeros(0)), hit, model.weights[hit]
+
+
+def dense(hit: np.ndarray, values: np.ndarray) -> np.ndarray:
+    weights = np.zeros(1 << BUCKET_BITS)
+    weights[hit] = values
+    return weights
+
+
+def scorer(model: Model):
+    """A mapInArrow function: (doc_id, text) to doc_id and score."""
+    model, hit, values = sparse(model)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.zeros(1 << BUCKET_BITS)
-        weights[hit] = values
-        of_interest = weights != 0
+        weights = dense(hit, values)
         for batch in batches:
-            score = np.zeros(len(batch))
-            for first, after, text, bucket in present(batch.column("text"), model.orders, of_interest):
-                z = np.bincount(text, weights[bucket], after - first) + model.bias
-                score[first:after] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            names = [n for n in batch.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(score)], names=[*names, out])
+            score = pa.array(scores(batch.column("text"), model, weights))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), score], names=["doc_id", "score"])
+
+    return of
+
+
+def keeper(model: Model, threshold: float):
+    """A mapInArrow function: the rows whose text scores below the threshold, all columns."""
+    model, hit, values = sparse(model)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = dense(hit, values)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column("text"), model, weights) < threshold))
 
     return of
 
@@ -169,3 +194,9 @@ def score_toxicity(
     texts, y, shares = sample(docs, labels, "toxic", training, bounds)
     model = fit(texts, y, shares, orders)
     return docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, training: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """docs, all columns, without the rows that score_toxicity puts at the threshold or above."""
+    texts, y, shares = sample(docs, labels, "toxic", training, {1: FIT_POSITIVE, 0: FIT_NEGATIVE})
+    return docs.mapInArrow(keeper(fit(texts, y, shares), threshold), docs.schema)
