@@ -169,9 +169,10 @@ class Matcher:
         edges, var = self.edges(rel, mapped, way)
         assert rel.var
         near, far = var.part("near"), var.part("far")
+        on = left.id == near
         if left.several:
-            near = near.cast("string")
-        self.scope.join(edges, left.id == near)
+            on = (left.id == near.cast("string")) & (col(left.prefix + "label") == var.part("near_label"))
+        self.scope.join(edges, on)
         self.scope.vars[rel.var] = var
         self.pending = self.conditions_of(rel) + self.pending
         self.apply()
@@ -227,8 +228,10 @@ class Matcher:
             cast = "string" if mapped else "bigint"
             parts.append(df.select(F.col("source_id").cast(cast).alias("src"), F.col("target_id").cast(cast).alias("dst"), "type", F.col("id").alias("eid"), none.alias("src_label"), none.alias("dst_label"), "props"))
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        out = df.withColumns({"near": F.col("src"), "far": F.col("dst"), "far_label": F.col("dst_label")})
-        back = df.withColumns({"near": F.col("dst"), "far": F.col("src"), "far_label": F.col("src_label")})
+        out, back = (
+            df.withColumns({"near": F.col(a), "far": F.col(b), "near_label": F.col(f"{a}_label"), "far_label": F.col(f"{b}_label")})
+            for a, b in (("src", "dst"), ("dst", "src"))
+        )
         if way == "in":
             out = back
         elif way == "both":
