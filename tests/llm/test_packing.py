@@ -9,7 +9,8 @@ from tokenizers import Tokenizer
 from weftgraph.llm import packing
 from weftgraph.llm.queries import tokenizer_path
 
-TEXTS = ["", None, "Hello, World!  it's", "a<|endoftext|>b <|startoftext|>", "é́  x\x1cy z İΣ Ⅷ", "word " * 9000, "日本語 テキスト", "x"]
+TEXTS = ["", None, "Hello, World!  it's", "a<|endoftext|>b <|startoftext|>", "é́  x\x1cy z İΣ Ⅷ", "word " * 9000, "日本語 テキスト", "x", "Don't STOP!!--now... (a)b[c]é.d e\u0301.f A\u0301", "<|ENDOFTEXT|> <| |>"]
+PLAIN = ["Don't 'Tis we'LL a'b x's. STOP!!--now... (a)b[c]é.d e\u0301.f A\u0301 1a2 a1.b", "", "z", "İK ſ"]
 
 
 def check_places(rows, capacity):
@@ -38,6 +39,16 @@ def test_pieces_are_the_tokenizers_ids(spark):
     assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=key) == sorted(want, key=key)
 
 
+def test_steps_without_control_strings_split_marks():
+    own, ids_of = Tokenizer.from_file(tokenizer_path()), packing.WordIds(tokenizer_path())
+    raw = [t.encode() for t in PLAIN]
+    offsets = np.append(0, np.cumsum([len(r) for r in raw]))
+    ids, counts = ids_of(np.frombuffer(b"".join(raw), np.uint8), offsets)
+    want = [own.encode(t, add_special_tokens=False).ids for t in PLAIN]
+    assert counts.tolist() == [len(w) for w in want]
+    assert ids.tolist() == sum(want, [])
+
+
 def test_no_rows(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), tokenizer_path()).count() == 0
 
