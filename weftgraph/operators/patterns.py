@@ -77,7 +77,7 @@ class Matcher:
                     ends = {"right": [m.source_label] if side == "right" else [m.target_label]}
                     ends["left"] = [m.target_label] if side == "right" else [m.source_label]
                     ends["both"] = [m.source_label, m.target_label]
-                    found += [x for x in ends[rel.direction] if x not in found]
+                    found = list(dict.fromkeys(found + ends[rel.direction]))
         return found
 
     def scan(self, labels: list[str]) -> tuple[DataFrame, NodeVar]:

@@ -28,10 +28,11 @@ def apply(engine: Engine, scope: Scope, clause: s.Clause) -> int:
     if isinstance(clause, s.Create):
         return create(engine, scope, clause)
     if isinstance(clause, s.SetClause):
-        changed = [set_item(engine, scope, item) for item in clause.items]
-        for name in {item.var for item in clause.items}:
-            refresh(engine, scope, name)
-        return sum(changed)
+        changed = 0
+        for item in clause.items:  # each item sees what the ones before it set
+            changed += set_item(engine, scope, item)
+            refresh(engine, scope, item.var)
+        return changed
     if isinstance(clause, s.Delete):
         return delete(engine, scope, clause)
     raise UnsupportedClause(type(clause).__name__)
