@@ -68,7 +68,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
     if kind == XIPH:
         head += b"".join(b"\xff" * (s // 255) + bytes([s % 255]) for s in sizes[:-1])
     elif kind == EBML_LACE:
-        head += vint(sizes[0])
+        head += vint(sizes[0]) if len(sizes) > 1 else b""
         for a, b in zip(sizes, sizes[1:-1]):
             n = next(n for n in range(1, 9) if abs(b - a) < (1 << 7 * n - 1) - 1)
             head += vint(b - a + (1 << 7 * n - 1) - 1, n)
