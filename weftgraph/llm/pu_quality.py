@@ -55,8 +55,9 @@ class Model(NamedTuple):
 
 def expanded(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
     """Standardised rates, how far each lies above and below, squashed, and a constant."""
-    z = np.clip((x - centre) / spread, -8, 8)
-    return np.column_stack([z, np.maximum(z - 1, 0), np.maximum(-1 - z, 0), np.maximum(z - 3, 0), np.ones(len(z))])
+    z = (x - centre) / spread
+    t = 2 * np.sign(z) * np.log1p(np.abs(z))
+    return np.column_stack([t, np.maximum(t - 1.5, 0), np.maximum(-1.5 - t, 0), np.maximum(t - 5, 0), np.ones(len(z))])
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -94,11 +95,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     spread = np.maximum(1.4826 * np.median(np.abs(positive - centre), axis=0), 0.05)
     p, u = expanded(positive, centre, spread), expanded(unlabelled, centre, spread)
 
-    def against(w: np.ndarray) -> np.ndarray:
-        return -(p.T @ (1 - sigmoid(p @ w))) / len(p) / 2 + u.T @ sigmoid(u @ w) / len(u) / 2
-
-    ranked = descend(against, p.shape[1], 400)
-    prior = prior_of(p @ ranked, u @ ranked)
+    # Each half is ranked by a classifier of the other, so that no text is ranked by what it taught.
+    scored: list[tuple[np.ndarray, np.ndarray]] = []
+    for half in (0, 1):
+        a, b = p[1 - half :: 2], u[1 - half :: 2]
+        if len(a) and len(b) and len(p[half::2]) and len(u[half::2]):
+            w = descend(lambda w, a=a, b=b: -(a.T @ (1 - sigmoid(a @ w))) / len(a) / 2 + b.T @ sigmoid(b @ w) / len(b) / 2, p.shape[1], 400)
+            scored.append((sigmoid(p[half::2] @ w), sigmoid(u[half::2] @ w)))
+    prior = prior_of(*[np.concatenate(x) for x in zip(*scored)]) if scored else 0.5
 
     def risk_gradient(w: np.ndarray) -> np.ndarray:
         sp, su = sigmoid(p @ w), sigmoid(u @ w)
