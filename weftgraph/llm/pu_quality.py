@@ -96,12 +96,14 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     p, u = expanded(positive, centre, spread), expanded(unlabelled, centre, spread)
 
     # Each half is ranked by a classifier of the other, so that no text is ranked by what it taught.
+    rng = np.random.default_rng(0)
+    p2, u2 = p[rng.permutation(len(p))], u[rng.permutation(len(u))]
     scored: list[tuple[np.ndarray, np.ndarray]] = []
     for half in (0, 1):
-        a, b = p[1 - half :: 2], u[1 - half :: 2]
-        if len(a) and len(b) and len(p[half::2]) and len(u[half::2]):
+        a, b = p2[1 - half :: 2], u2[1 - half :: 2]
+        if len(p2) > 1 and len(u2) > 1:
             w = descend(lambda w, a=a, b=b: -(a.T @ (1 - sigmoid(a @ w))) / len(a) / 2 + b.T @ sigmoid(b @ w) / len(b) / 2, p.shape[1], 400)
-            scored.append((sigmoid(p[half::2] @ w), sigmoid(u[half::2] @ w)))
+            scored.append((sigmoid(p2[half::2] @ w), sigmoid(u2[half::2] @ w)))
     prior = prior_of(*[np.concatenate(x) for x in zip(*scored)]) if scored else 0.5
 
     def risk_gradient(w: np.ndarray) -> np.ndarray:
