@@ -21,8 +21,9 @@ from weftgraph.llm import textcore
 
 ORDERS, BUCKET_BITS = (4, 5, 6), 20
 #: Documented bounds of the labelled sample that the model is fitted on, by class.
-FIT_POSITIVE, FIT_NEGATIVE = 1500, 3000
-LEAST_TEXTS, PENALTY, ROUNDS, THRESHOLD = 3, 2e-4, 400, 0.3
+FIT_POSITIVE, FIT_NEGATIVE = 800, 1600
+LEAST_TEXTS, LEAST_RATIO, PENALTY, ROUNDS, THRESHOLD = 3, 1.5, 2e-4, 300, 0.3
+STEP_BYTES = 300_000  # a step holds several numbers for each character
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +57,7 @@ def ngrams(data: np.ndarray, offsets: np.ndarray, orders: tuple[int, ...]) -> It
 
 def present(column: pa.Array, orders: tuple[int, ...], of_interest: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, texts, buckets): each bucket once for each text of a step."""
-    for first, after, data, offsets in textcore.steps(lowered(column)):
+    for first, after, data, offsets in textcore.steps(lowered(column), STEP_BYTES):
         keys = []
         for bucket, text in ngrams(data, offsets, orders):
             if of_interest is not None:
@@ -71,27 +72,30 @@ def fit(texts: list[str | None], labels: np.ndarray, shares: tuple[float, float]
     """shares: the classes' shares of all labelled texts, which a sample by class doesn't show."""
     size = 1 << BUCKET_BITS
     column = pa.array(texts, pa.string())
-    rows, buckets = [], []
-    for first, _, text, bucket in present(column, orders):
-        rows.append((text + first).astype(np.int32))
-        buckets.append(bucket.astype(np.int32))
-    row, bucket = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, buckets))
     positive = labels.astype(bool)
     n1, n0 = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
     if not positive.any() or positive.all():
         return Model(np.zeros(size), np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6)), orders)
-    of_1 = positive[row]
-    in_1, in_0 = np.bincount(bucket[of_1], minlength=size), np.bincount(bucket[~of_1], minlength=size)
+    # One pass counts, the next takes only the buckets that tell the classes apart.
+    in_1, in_0 = np.zeros(size), np.zeros(size)
+    for first, _, text, bucket in present(column, orders):
+        of_1 = positive[first + text]
+        in_1 += np.bincount(bucket[of_1], minlength=size)
+        in_0 += np.bincount(bucket[~of_1], minlength=size)
     ratio = np.log((in_1 + 1) / (n1 + 2)) - np.log((in_0 + 1) / (n0 + 2))
-    used = (in_1 + in_0 >= LEAST_TEXTS) & (np.abs(ratio) > 1)
-    number = np.full(size, -1, np.int64)
+    used = (in_1 + in_0 >= LEAST_TEXTS) & (np.abs(ratio) > LEAST_RATIO)
+    number = np.full(size, -1, np.int32)
     number[used] = np.arange(int(used.sum()))
-    take = used[bucket]
-    row, col = row[take].astype(np.int64), number[bucket[take]]
+    rows, cols = [], []
+    for first, _, text, bucket in present(column, orders, used):
+        rows.append((first + text).astype(np.int32))
+        cols.append(number[bucket])
+    row, col = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols))
+    del rows, cols
     r = ratio[used]
     # Each text weighs so that classes have their shares of all labelled texts.
     weight = np.where(positive, shares[1] / n1, shares[0] / n0)
-    x_scale = r[col]
+    x_scale = r[col].astype(np.float32)
     w, b, y = np.zeros(len(r)), float(np.log(shares[1] / shares[0])), positive.astype(float)
     lipschitz = 0.25 * max(float((weight * np.bincount(row, x_scale**2, len(texts))).sum()), 1e-9)
     step, v, momentum = 1.0 / lipschitz, w.copy(), 1.0
