@@ -7,7 +7,7 @@ from weftgraph.llm import fuzzy_lines
 def brute_shingles(line, kind):
     if kind == 0:
         return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
-    return {line[m.start() : m.start() + 8] for m in re.finditer(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]|[⺀-ￜ]", line)}
+    return {line[m.start() : m.start() + 8] for m in re.finditer(r"[⺀-ￜ]|[^\x20\x09-\x0D⺀-ￜ]+", line)}
 
 
 def alike(a, b):
@@ -68,8 +68,26 @@ def test_against_brute_force(spark):
     docs = spark.createDataFrame([(*r, "clash", 5) for r in rows], "doc_id long, text string, n_lines string, n_chars long")
     out = fuzzy_lines.dedup_lines(docs)
     assert out.columns == ["doc_id", "text", "n_chars", "n_lines", "n_removed"]
-    got = [(r.doc_id, r.text, r.n_lines, r.n_removed) for r in out.collect()]
-    assert sorted(got, key=str) == sorted(brute(rows), key=str)
+    got = {str((r.doc_id, r.n_lines)): r for r in out.collect()}
+    want = {str((d, n)): (t, gone) for d, t, n, gone in brute(rows)}
+    assert got.keys() == want.keys()
+    # MinHash may miss a link, so a line may stay that brute force takes out; none goes that it keeps.
+    taken = sum(r.n_removed for r in got.values())
+    assert 0.97 * sum(g for _, g in want.values()) <= taken <= sum(g for _, g in want.values())
+    for k, r in got.items():
+        t, gone = want[k]
+        if r.n_removed == gone:
+            assert r.text == t
+        else:
+            assert set((t or "").split("\n")) <= set(r.text.split("\n"))
+
+
+def test_exact_copies_all_go(spark):
+    lines = ["a", "bb cc", "Some longer line of text that is a copy of another", "日本", "x" * 5000]
+    docs = spark.createDataFrame([(i, "\n".join(lines)) for i in range(50)], "doc_id long, text string")
+    got = {r.doc_id: r for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert got[0].n_removed == 0 and got[0].text == "\n".join(lines)
+    assert all(got[i].text == "" and got[i].n_removed == len(lines) for i in range(1, 50))
 
 
 def test_no_rows(spark):

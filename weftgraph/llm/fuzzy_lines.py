@@ -1,17 +1,19 @@
 """Line deduplication by MinHash over character shingles; DataFrame functions only.
 
 A line's shingles are runs of characters: up to SHORT_MOST characters, every run of 5; in longer
-lines, runs of 8 that begin at a word's first character (or at any character of scripts that don't
-space words). Lines of a length between the two limits have both sets, so any two lines whose
-lengths can have the similarity share a kind of set.
+lines, runs of 8 that begin where a word begins (or at any character of scripts that don't space
+words). Lines of a length between the two limits have both sets, so any two lines whose lengths can
+have the similarity share a kind of set.
 
-Each shingle is hashed to places on three circles of 64 bits. A signature place is the first hash at
-or after a fixed point: two lines agree there exactly as often as their sets' Jaccard similarity.
-A place on each circle makes a band. A line is checked against the first line of its bucket and the NEIGHBOURS
+Each shingle is hashed to a place on a circle of 64 bits. A signature place is the first hash at or
+after a fixed point: two lines agree there exactly as often as their sets' Jaccard similarity. Three
+places make a band. A line is checked against the first line of its bucket and the NEIGHBOURS
 before it, in an order that differs from band to band: all pairs of a bucket of up to eight lines,
 and for larger ones, whose lines mostly meet in other bands too, pairs that grow with the lines and
-not with their square. The check is the exact Jaccard similarity of the shingle sets. Connected
-components of what passes keep the first of their lines.
+not with their square. Two bits of each place, packed in one number, and the sets' sizes travel with
+a line, so that pairs which can't be similar end in the bucket. The check of the others is the exact
+Jaccard similarity of the shingle sets. Connected components of what passes keep the first of their
+lines.
 """
 
 from __future__ import annotations
@@ -24,64 +26,64 @@ from pyspark.sql import functions as F
 from weftgraph.llm.components import components
 from weftgraph.llm.storage import Written, release
 
-SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 12, 3, 7
+SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 8, 3, 7
+#: Of PLACES pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
+PLACES, AGREE_LEAST = BANDS * IN_BAND, 16
 SHORT_MOST, LONG_LEAST = 80, 65
 _SPACE = r"\x20\x09-\x0D"
 EVERY_5 = r"(?s)(?=(.{5}))"
-AT_WORDS_8 = rf"(?s)(?=((?<![^{_SPACE}])[^{_SPACE}].{{0,7}}|[⺀-ￜ].{{0,7}}))"
+AT_WORDS_8 = rf"(?s)(?=(.{{1,8}}))(?:[⺀-ￜ]|[^{_SPACE}⺀-ￜ]+)[{_SPACE}]*"
 
 
-def shingles(line: Column, kind: int) -> Column:
-    """Distinct shingles; kind 0 for short lines, 1 for long ones. A line under 5 characters is one."""
+def found(line: Column, kind: int) -> Column:
+    """Shingles in order; kind 0 for short lines, 1 for long ones. A line under 5 characters is one."""
     if kind:
-        return F.array_distinct(F.regexp_extract_all(line, F.lit(AT_WORDS_8), F.lit(1)))
-    return F.when(F.length(line) < 5, F.array(line)).otherwise(
-        F.array_distinct(F.regexp_extract_all(line, F.lit(EVERY_5), F.lit(1)))
-    )
+        return F.regexp_extract_all(line, F.lit(AT_WORDS_8), F.lit(1))
+    return F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY_5), F.lit(1)))
+
+
+def shingles(line: Column, kind: int) -> Column:
+    return F.array_distinct(found(line, kind))
 
 
 def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def points(circle: int) -> list[int]:
-    rng = random.Random(20 + circle)
-    return sorted(rng.randrange(-(2**63), 2**63) for _ in range(BANDS))
+def points() -> list[int]:
+    """Odd numbers in order; hashes are made even, so that sorted together they can be told apart."""
+    rng = random.Random(20)
+    return sorted(rng.randrange(-(2**63), 2**63) | 1 for _ in range(PLACES))
 
 
-def first_at_or_after(hashes: str, merged: str):
-    """For a fixed point and its index: the first of sorted hashes from there on, going round at the end."""
+def first_at_or_after(hashes: str):
+    """For the index of a fixed point among hashes and points, and its number: the first hash from there on, going round."""
+    return lambda i, k: F.get(hashes, F.when(i - k >= F.size(hashes), 0).otherwise(i - k))
 
-    def place(point: Column, k: Column) -> Column:
-        before = (F.array_position(merged, point) - k).cast("int")  # hashes below the point, plus 1
-        return F.get(hashes, F.when(before > F.size(hashes), 0).otherwise(before - 1))
 
-    return place
+def packed(x: Column, k: Column) -> Column:
+    """Two bits of a place, at its own bits."""
+    return F.call_function("shiftleft", F.shiftright(x, 9).bitwiseAND(F.lit(3)), 2 * k)
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """lines (with column line) with column bands: a hash for each band of each kind of set."""
-    out = lines
+    """lines (with column line) with met: array of struct(key, n, sketch), one for each band of each kind of set."""
+    out, made = lines, []
+    chosen = random.Random(50).sample(range(PLACES), PLACES)
+    fixed = F.array(*[F.lit(c) for c in points()])
     for kind, holds in ((0, F.length("line") <= SHORT_MOST), (1, F.length("line") >= LONG_LEAST)):
-        found = F.regexp_extract_all("line", F.lit(AT_WORDS_8), F.lit(1)) if kind else shingles(F.col("line"), 0)
-        out = out.withColumn("g0", F.when(holds, F.transform(found, lambda s: F.xxhash64(s))))
-        for i in range(IN_BAND):
-            fixed = F.array(*[F.lit(c) for c in points(i)])
-            if i:
-                out = out.withColumn(f"g{i}", F.transform("g0", rehashed(i)))
-            out = out.withColumn(f"g{i}", F.sort_array(f"g{i}")).withColumn("m", F.sort_array(F.concat(f"g{i}", fixed)))
-            # Each circle gives its places to the bands in an order of its own.
-            out = out.withColumn(f"s{i}", F.transform(fixed, first_at_or_after(f"g{i}", "m")))
-        order = [random.Random(50 + i).sample(range(BANDS), BANDS) for i in range(IN_BAND)]
-        keys = [F.xxhash64(F.lit(kind * BANDS + b), *[F.get(f"s{i}", F.lit(order[i][b])) for i in range(IN_BAND)]) for b in range(BANDS)]
-        some = F.col("g0").isNotNull() & (F.size("g0") > 0)
-        out = out.withColumn(f"b{kind}", F.when(some, F.array(*keys)).otherwise(F.array().cast("array<bigint>")))
-        out = out.drop("m", *[f"{x}{i}" for x in "gs" for i in range(IN_BAND)])
-    return out.withColumn("bands", F.concat("b0", "b1")).drop("b0", "b1")
-
-
-def rehashed(i: int):
-    return lambda h: F.xxhash64(h, F.lit(i))
+        hashes, merged, places, sketch = (f"_{x}{kind}" for x in "hmps")
+        even = lambda s: F.xxhash64(s).bitwiseAND(F.lit(-2))
+        out = out.withColumn(hashes, F.when(holds, F.sort_array(F.array_distinct(F.transform(found(F.col("line"), kind), even)))))
+        out = out.withColumn(merged, F.sort_array(F.concat(hashes, fixed)))
+        at = F.filter(F.transform(merged, lambda x, i: F.when(x.bitwiseAND(F.lit(1)) == 1, i)), lambda i: i.isNotNull())
+        out = out.withColumn(places, F.transform(at, first_at_or_after(hashes)))
+        bits = F.aggregate(F.transform(places, packed), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+        out = out.withColumn(sketch, bits)
+        keys = [F.xxhash64(F.lit(kind * BANDS + b), *[F.get(places, F.lit(p)) for p in chosen[b::BANDS]]) for b in range(BANDS)]
+        met = F.array(*[F.struct(k.alias("key"), F.size(hashes).alias("n"), F.col(sketch).alias("sketch")) for k in keys])
+        made.append(F.when(F.col(hashes).isNotNull(), met).otherwise(F.array().cast("array<struct<key:bigint,n:int,sketch:bigint>>")))
+    return out.withColumn("met", F.concat(*made)).select(*lines.columns, "met")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -91,17 +93,23 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of line ids that meet in a bucket: a, b, a < b."""
-    keyed = firsts.select("id", F.explode("bands").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id", "key"), "id")
+    """Pairs of line ids that meet in a bucket and can be similar: a, b, a < b."""
+    keyed = firsts.select("id", F.explode("met").alias("x")).select("x.key", F.struct("id", "x.n", "x.sketch").alias("me"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("me.id", "key"), "me.id")
     met = keyed.select(
-        "id",
-        F.first("id").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x0"),
-        *[F.lag("id", k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)],
+        "me",
+        F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x0"),
+        *[F.lag("me", k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)],
     ).where("x1 is not null")
-    others = F.array(*[f"x{k}" for k in range(NEIGHBOURS + 1)])
-    other = F.explode(F.array_distinct(F.filter(others, lambda x: x.isNotNull())))
-    pairs = met.select("id", other.alias("other")).where("id <> other")
+
+    def can(x: Column) -> Column:
+        low, high = F.least(x["n"], F.col("me.n")), F.greatest(x["n"], F.col("me.n"))
+        differ = x["sketch"].bitwiseXOR(F.col("me.sketch"))
+        odd = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
+        return (x["id"] != F.col("me.id")) & (low >= SIMILARITY * high) & (F.bit_count(odd) <= PLACES - AGREE_LEAST)
+
+    others = F.filter(F.array(*[f"x{k}" for k in range(NEIGHBOURS + 1)]), lambda x: x.isNotNull() & can(x))
+    pairs = met.select("me.id", F.explode(F.array_distinct(F.transform(others, lambda x: x["id"]))).alias("other"))
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -133,8 +141,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = bands(lines_of(docs).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line")))
     place = F.struct("doc_id", "row", "line_no")
     # Copies of a line meet in partial aggregates before they are shuffled.
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("bands").alias("bands"))
-    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "bands"), "lines")
+    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("met").alias("met"))
+    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "met"), "lines")
     release(spark)
     pairs = Written(candidates(first.read()), "line-pairs")
     release(spark)
@@ -152,9 +160,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     edges = p.join(left, "a").join(right, "b").where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
     found = components(edges)
     kept = first.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
-    group = kept.where("root is not null").groupBy("root").agg(F.min(place).alias("best"))
-    best = group.select(F.col("root").alias("g"), "best")
-    kept = kept.join(best, F.col("root") == F.col("g"), "left").where(F.col("root").isNull() | place.eqNullSafe(F.col("best")))
+    # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
+    best = kept.where("root is not null").groupBy("root").agg(F.min(place).alias("best")).select("best.*")
+    kept = kept.where("root is null").select("doc_id", "row", "line_no").unionByName(best)
     words = kept.groupBy("doc_id", "row", F.floor(F.col("line_no") / 63).cast("int").alias("part")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line_no") % 63)).alias("bits")
     )
