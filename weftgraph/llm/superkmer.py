@@ -19,9 +19,34 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import textcore
 
-WIDTH, INNER = 13, 3
-PACKED = "bucket int, strings binary, size long, ref binary, doc binary, row binary, start binary"
-FOUND = "doc long, row long, start int, upto int"
+WIDTH, INNER = 13, 2
+PACKED = "bucket int, strings binary, size long, places binary, n long"
+FOUND = "doc long, row int, start int, upto int"
+#: Arrays that tell where packed strings come from; doc travels as differences.
+PLACES = (("ref", np.int32), ("doc", np.int64), ("row", np.int32), ("start", np.int32))
+LEVEL = 5
+
+
+def squeezed(raw: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True)
+
+
+def squeezed_places(arrays: dict[str, np.ndarray]) -> bytes:
+    """The arrays' bytes, first bytes of all numbers first, so that the high ones are runs."""
+    arrays = arrays | {"doc": np.diff(arrays["doc"], prepend=np.int64(0))}
+    parts = [np.ascontiguousarray(arrays[k].astype(t)).view(np.uint8).reshape(-1, np.dtype(t).itemsize).T.tobytes() for k, t in PLACES]
+    return squeezed(b"".join(parts))
+
+
+def opened_places(raw: bytes, n: int) -> dict[str, np.ndarray]:
+    width = sum(np.dtype(t).itemsize for _, t in PLACES)
+    data = np.frombuffer(pa.decompress(raw, decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8)
+    out, at = {}, 0
+    for k, t in PLACES:
+        size = np.dtype(t).itemsize
+        out[k] = np.ascontiguousarray(data[at : at + n * size].reshape(size, n).T).view(t).ravel()
+        at += n * size
+    return out | {"doc": np.cumsum(out["doc"])}
 
 
 def joined_words(data: np.ndarray, offsets: np.ndarray):
@@ -69,19 +94,17 @@ def packer(buckets: int, width: int, inner: int):
                 text = text[begin]
                 start = (begin - at[text]).astype(np.int32)
                 doc, row = doc_of[first + text], row_of[first + text]
-                columns: list[list] = [[] for _ in range(7)]
+                columns: list[list] = [[] for _ in range(5)]
                 for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
                     seen: dict[bytes, int] = {}
                     ref = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(low[i:j], high[i:j])], np.int32)
                     strings = b"\n".join(seen)
-                    packed = pa.compress(strings, codec="zstd", asbytes=True)
-                    for c, x in zip(columns, (int(to[i]), packed, len(strings), ref, doc[i:j], row[i:j], start[i:j])):
-                        c.append(x if isinstance(x, (int, bytes)) else x.tobytes())
-                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, kinds)],
-                    names=["bucket", "strings", "size", "ref", "doc", "row", "start"],
-                )
+                    places = squeezed_places({"ref": ref, "doc": doc[i:j], "row": row[i:j], "start": start[i:j]})
+                    for c, x in zip(columns, (int(to[i]), squeezed(strings), len(strings), places, j - i)):
+                        c.append(x)
+                kinds = (pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64())
+                names = ["bucket", "strings", "size", "places", "n"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     return of
 
@@ -114,20 +137,20 @@ def same_windows(raw: bytes, low: np.ndarray, high: np.ndarray, hashed: np.ndarr
 
 def counter(width: int):
     """An applyInArrow function: a bucket's packed strings to word ranges that earlier documents have."""
-    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("upto", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("upto", pa.int32())])
 
     def of(table: pa.Table) -> pa.Table:
         strings, ref, doc, row, start, known = [], [], [], [], [], 0
-        for r in table.select(["strings", "size", "ref", "doc", "row", "start"]).to_batches():
-            for s, size, a, b, c, d in zip(*(x.to_pylist() for x in r.columns)):
-                text = pa.decompress(s, decompressed_size=size, codec="zstd", asbytes=True)
-                own = np.frombuffer(a, np.int32)
+        for r in table.select(["strings", "size", "places", "n"]).to_batches():
+            for packed, size, places, n in zip(*(x.to_pylist() for x in r.columns)):
+                text = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True)
+                own = opened_places(places, n)
                 strings.append(text)
-                ref.append(own.astype(np.int64) + known)
+                ref.append(own["ref"].astype(np.int64) + known)
                 known += text.count(b"\n") + 1
-                doc.append(np.frombuffer(b, np.int64))
-                row.append(np.frombuffer(c, np.int64))
-                start.append(np.frombuffer(d, np.int32))
+                doc.append(own["doc"])
+                row.append(own["row"])
+                start.append(own["start"])
         raw = b"\n".join(strings)
         del strings
         ref, doc, row, start = (np.concatenate(x) for x in (ref, doc, row, start))
@@ -174,7 +197,7 @@ def counter(width: int):
             b = np.append(a[1:], len(place)) - 1
             for x, y in zip(out, (doc[place[a]], row[place[a]], word[a], word[b] + width)):
                 x.append(y)
-        kinds = (np.int64, np.int64, np.int32, np.int32)
+        kinds = (np.int64, np.int32, np.int32, np.int32)
         return pa.Table.from_arrays(
             [pa.array(np.concatenate(x).astype(k) if x else np.zeros(0, k)) for x, k in zip(out, kinds)], schema=schema
         )
@@ -215,16 +238,16 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, inner: int = INNER, bu
 
     docs: doc_id, text; other columns are ignored. Windows are judged on the input. A null text has
     no words. A null doc_id counts as larger than any; rows with one doc_id are one document as to
-    which is smaller, and rows stay rows. buckets: parts that windows go to, four to a shuffle
+    which is smaller, and rows stay rows. buckets: parts that windows go to, eight to a shuffle
     partition where not given. Returns doc_id, text (kept words, joined by single spaces), n_words,
     n_removed; no rows give no rows.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("row"), "text"
+        "doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("row"), "text"
     )
-    packed = keyed.select("doc", "row", "text").mapInArrow(packer(buckets or 4 * parts, width, inner), PACKED)
+    packed = keyed.select("doc", "row", "text").mapInArrow(packer(buckets or 8 * parts, width, inner), PACKED)
     found = packed.groupBy("bucket").applyInArrow(counter(width), FOUND)
     ranges = found.groupBy(F.col("doc").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "upto")).alias("ranges"))
     with_ranges = keyed.join(ranges, (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r")), "left")

@@ -16,7 +16,9 @@ import pyarrow as pa
 STEP_BYTES = 2_000_000
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Powers come from two short tables: of the low bits of an exponent, and of the rest.
+LOW_BITS, BLOCK = 12, 1 << 20
+_high: dict[str, np.ndarray] = {}
 
 
 def steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -56,13 +58,22 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for key, factor in (("up", BASE), ("down", INVERSE)):
-            grown = np.full(n, factor, np.uint64)
-            grown[0] = 1
-            _powers[key] = np.cumprod(grown, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+def powers_of(factor: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, factor, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+LOW_UP, LOW_DOWN = powers_of(BASE, 1 << LOW_BITS), powers_of(INVERSE, 1 << LOW_BITS)
+
+
+def high_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and INVERSE to multiples of 2**LOW_BITS, up to n."""
+    need = (n >> LOW_BITS) + 1
+    if "up" not in _high or len(_high["up"]) < need:
+        _high["up"] = powers_of(np.uint64(pow(int(BASE), 1 << LOW_BITS, 2**64)), need)
+        _high["down"] = powers_of(np.uint64(pow(int(INVERSE), 1 << LOW_BITS, 2**64)), need)
+    return _high["up"], _high["down"]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -76,12 +87,20 @@ class RangeHash:
     """Hashes of byte ranges of one buffer; equal bytes hash equally wherever they stand."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
+        up, self.down = high_powers(len(data))
         self.prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=self.prefix[1:])
+        for at in range(0, len(data), BLOCK):  # a block at a time, so that little stands beside the prefix
+            part = data[at : at + BLOCK].astype(np.uint64)
+            part += np.uint64(1)
+            part *= (up[at >> LOW_BITS : (at + BLOCK) >> LOW_BITS, None] * LOW_UP).ravel()[: len(part)]
+            part[:1] += self.prefix[at : at + 1]
+            np.cumsum(part, out=self.prefix[at + 1 : at + 1 + len(part)])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mixed((self.prefix[end] - self.prefix[start]) * self.down[start])
+        h = self.prefix[end] - self.prefix[start]
+        h *= LOW_DOWN[start & ((1 << LOW_BITS) - 1)]
+        h *= self.down[start >> LOW_BITS]
+        return mixed(h)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
