@@ -67,7 +67,7 @@ def packed(x: Column, k: Column) -> Column:
 
 
 def bands(lines: DataFrame) -> DataFrame:
-    """lines (with column line) with met: array of struct(key, n, sketch), one for each band of each kind of set."""
+    """lines (with column line) with sets: array of struct(n, sketch, keys), one for each kind of set the line has."""
     out, made = lines, []
     chosen = random.Random(50).sample(range(PLACES), PLACES)
     fixed = F.array(*[F.lit(c) for c in points()])
@@ -81,9 +81,9 @@ def bands(lines: DataFrame) -> DataFrame:
         bits = F.aggregate(F.transform(places, packed), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
         out = out.withColumn(sketch, bits)
         keys = [F.xxhash64(F.lit(kind * BANDS + b), *[F.get(places, F.lit(p)) for p in chosen[b::BANDS]]) for b in range(BANDS)]
-        met = F.array(*[F.struct(k.alias("key"), F.size(hashes).alias("n"), F.col(sketch).alias("sketch")) for k in keys])
-        made.append(F.when(F.col(hashes).isNotNull(), met).otherwise(F.array().cast("array<struct<key:bigint,n:int,sketch:bigint>>")))
-    return out.withColumn("met", F.concat(*made)).select(*lines.columns, "met")
+        held = F.struct(F.size(hashes).alias("n"), F.col(sketch).alias("sketch"), F.array(*keys).alias("keys"))
+        made.append(F.when(F.col(hashes).isNotNull(), held))
+    return out.withColumn("sets", F.filter(F.array(*made), lambda x: x.isNotNull())).select(*lines.columns, "sets")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def candidates(firsts: DataFrame) -> DataFrame:
     """Pairs of line ids that meet in a bucket and can be similar: a, b, a < b."""
-    keyed = firsts.select("id", F.explode("met").alias("x")).select("x.key", F.struct("id", "x.n", "x.sketch").alias("me"))
+    keyed = firsts.select("id", F.explode("sets").alias("x")).select(F.struct("id", "x.n", "x.sketch").alias("me"), F.explode("x.keys").alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("me.id", "key"), "me.id")
     met = keyed.select(
         "me",
@@ -113,16 +113,22 @@ def candidates(firsts: DataFrame) -> DataFrame:
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def similar(a: Column, b: Column) -> Column:
-    """Whether the Jaccard similarity of two lines' shingle sets is at least SIMILARITY."""
+def similar(pairs: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b, line_a, line_b) whose shingle sets' Jaccard similarity is at least SIMILARITY.
 
-    def of(kind: int) -> Column:
-        x, y = shingles(a, kind), shingles(b, kind)
-        return F.size(F.array_intersect(x, y)) >= SIMILARITY * F.size(F.array_union(x, y))
-
-    short = (F.length(a) <= SHORT_MOST) & (F.length(b) <= SHORT_MOST)
-    long = (F.length(a) >= LONG_LEAST) & (F.length(b) >= LONG_LEAST)
-    return F.when(short, of(0)).when(long, of(1)).otherwise(False)
+    The sets are columns of their own and the test is a generator over them, so that each set is
+    made once; a filter would be pushed below them and make them again for each use.
+    """
+    short = (F.length("line_a") <= SHORT_MOST) & (F.length("line_b") <= SHORT_MOST)
+    long = (F.length("line_a") >= LONG_LEAST) & (F.length("line_b") >= LONG_LEAST)
+    none = F.array().cast("array<string>")
+    sets = {k: F.when(short, shingles(F.col(f"line_{k}"), 0)).when(long, shingles(F.col(f"line_{k}"), 1)).otherwise(none) for k in "ab"}
+    made = pairs.select("a", "b", sets["a"].alias("x"), sets["b"].alias("y"))
+    both, each = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
+    # both / (each - both) >= SIMILARITY, with both standing once.
+    holds = both * (1 + SIMILARITY) >= SIMILARITY * each - 1e-9
+    alike = F.explode(F.when(holds & (F.size("x") > 0), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    return made.select("a", "b", alike.alias("alike")).select("a", "b")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -141,8 +147,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = bands(lines_of(docs).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line")))
     place = F.struct("doc_id", "row", "line_no")
     # Copies of a line meet in partial aggregates before they are shuffled.
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("met").alias("met"))
-    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "met"), "lines")
+    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("sets").alias("sets"))
+    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "sets"), "lines")
     release(spark)
     pairs = Written(candidates(first.read()), "line-pairs")
     release(spark)
@@ -157,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     line = Written(line.dropDuplicates(["id"]), "line-texts")
     release(spark)
     left, right = (line.read().select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    edges = p.join(left, "a").join(right, "b").where(similar(F.col("line_a"), F.col("line_b"))).select("a", "b")
+    edges = similar(p.join(left, "a").join(right, "b"))
     found = components(edges)
     kept = first.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
     # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
