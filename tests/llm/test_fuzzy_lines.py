@@ -92,3 +92,33 @@ def test_exact_copies_all_go(spark):
 
 def test_no_rows(spark):
     assert fuzzy_lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def runs(line):
+    return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
+
+
+def plainly_alike(a, b):
+    return len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b))
+
+
+def test_long_lines_are_compared_whole(spark):
+    rng = random.Random(3)
+    ascii_, thai = "abcdefghijklmnopqrstuvwxyz0123456789", "กขคงจฉชซญดตถทธนบปผฝพฟมยรลวสหอ"
+    urls = ["https://" + "".join(rng.choice(ascii_) for _ in range(100)) for _ in range(5)]
+    unspaced = ["".join(rng.choice(letters) for _ in range(120)) for letters in (ascii_, thai) for _ in range(5)]
+    emoji = ["".join(rng.choice("😀😁😂🤣😃😄😅😆😉😊") for _ in range(90)) for _ in range(3)]
+    lines = urls + [x[:8] + y[8:] for x, y in zip(unspaced, reversed(unspaced))] + emoji
+    copies = [x[:60] + "#" + x[61:] for x in lines]
+    assert all(plainly_alike(x, y) == (i == j) for i, x in enumerate(lines) for j, y in enumerate(lines))
+    assert all(plainly_alike(x, y) for x, y in zip(lines, copies))
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copies))], "doc_id long, text string")
+    got = {r.doc_id: r for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert got[1].text == "\n".join(lines) and got[1].n_removed == 0
+    assert got[2].n_removed == len(lines)
+
+
+def test_against_brute_force_over_every_run(spark, monkeypatch):
+    """The same documents as above, held against the plain definition at every length."""
+    monkeypatch.setitem(globals(), "alike", plainly_alike)
+    test_against_brute_force(spark)

@@ -1,9 +1,7 @@
 """Line deduplication by MinHash over character shingles; DataFrame functions only.
 
-A line's shingles are runs of characters: up to SHORT_MOST characters, every run of 5; in longer
-lines, runs of 8 that begin where a word begins (or at any character of scripts that don't space
-words). Lines of a length between the two limits have both sets, so any two lines whose lengths can
-have the similarity share a kind of set.
+A line's shingles are its runs of 5 characters, every one of them, at every length; a line under 5
+characters is one shingle.
 
 Each shingle is hashed to a place on a circle of 64 bits. A signature place is the first hash at or
 after a fixed point: two lines agree there exactly as often as their sets' Jaccard similarity. Three
@@ -29,21 +27,17 @@ from weftgraph.llm.storage import Written, release
 SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 8, 3, 7
 #: Of PLACES pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
 PLACES, AGREE_LEAST = BANDS * IN_BAND, 16
-SHORT_MOST, LONG_LEAST = 80, 65
-_SPACE = r"\x20\x09-\x0D"
-EVERY_5 = r"(?s)(?=(.{5}))"
-AT_WORDS_8 = rf"(?s)(?=(.{{1,8}}))(?:[⺀-ￜ]|[^{_SPACE}⺀-ￜ]+)[{_SPACE}]*"
+#: The last dot steps over a whole character, so that no run begins inside a surrogate pair.
+EVERY_5 = r"(?s)(?=(.{5}))."
 
 
-def found(line: Column, kind: int) -> Column:
-    """Shingles in order; kind 0 for short lines, 1 for long ones. A line under 5 characters is one."""
-    if kind:
-        return F.regexp_extract_all(line, F.lit(AT_WORDS_8), F.lit(1))
+def found(line: Column) -> Column:
+    """Shingles in order. A line under 5 characters is one."""
     return F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY_5), F.lit(1)))
 
 
-def shingles(line: Column, kind: int) -> Column:
-    return F.array_distinct(found(line, kind))
+def shingles(line: Column) -> Column:
+    return F.array_distinct(found(line))
 
 
 def trimmed(line: Column) -> Column:
@@ -66,24 +60,22 @@ def packed(x: Column, k: Column) -> Column:
     return F.call_function("shiftleft", F.shiftright(x, 9).bitwiseAND(F.lit(3)), 2 * k)
 
 
+def hashed(line: Column) -> Column:
+    """The shingles' hashes, distinct, made even."""
+    return F.array_distinct(F.transform(found(line), lambda s: F.xxhash64(s).bitwiseAND(F.lit(-2))))
+
+
 def bands(lines: DataFrame) -> DataFrame:
-    """lines (with column line) with sets: array of struct(n, sketch, keys), one for each kind of set the line has."""
-    out, made = lines, []
+    """lines (with column line) with set: struct(n, sketch, keys)."""
     chosen = random.Random(50).sample(range(PLACES), PLACES)
     fixed = F.array(*[F.lit(c) for c in points()])
-    for kind, holds in ((0, F.length("line") <= SHORT_MOST), (1, F.length("line") >= LONG_LEAST)):
-        hashes, merged, places, sketch = (f"_{x}{kind}" for x in "hmps")
-        even = lambda s: F.xxhash64(s).bitwiseAND(F.lit(-2))
-        out = out.withColumn(hashes, F.when(holds, F.sort_array(F.array_distinct(F.transform(found(F.col("line"), kind), even)))))
-        out = out.withColumn(merged, F.sort_array(F.concat(hashes, fixed)))
-        at = F.filter(F.transform(merged, lambda x, i: F.when(x.bitwiseAND(F.lit(1)) == 1, i)), lambda i: i.isNotNull())
-        out = out.withColumn(places, F.transform(at, first_at_or_after(hashes)))
-        bits = F.aggregate(F.transform(places, packed), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-        out = out.withColumn(sketch, bits)
-        keys = [F.xxhash64(F.lit(kind * BANDS + b), *[F.get(places, F.lit(p)) for p in chosen[b::BANDS]]) for b in range(BANDS)]
-        held = F.struct(F.size(hashes).alias("n"), F.col(sketch).alias("sketch"), F.array(*keys).alias("keys"))
-        made.append(F.when(F.col(hashes).isNotNull(), held))
-    return out.withColumn("sets", F.filter(F.array(*made), lambda x: x.isNotNull())).select(*lines.columns, "sets")
+    out = lines.withColumn("_h", F.sort_array(hashed(F.col("line")))).withColumn("_m", F.sort_array(F.concat("_h", fixed)))
+    at = F.filter(F.transform("_m", lambda x, i: F.when(x.bitwiseAND(F.lit(1)) == 1, i)), lambda i: i.isNotNull())
+    out = out.withColumn("_p", F.transform(at, first_at_or_after("_h")))
+    sketch = F.aggregate(F.transform("_p", packed), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    keys = [F.xxhash64(F.lit(b), *[F.get("_p", F.lit(p)) for p in chosen[b::BANDS]]) for b in range(BANDS)]
+    held = F.struct(F.size("_h").alias("n"), sketch.alias("sketch"), F.array(*keys).alias("keys"))
+    return out.withColumn("set", held).select(*lines.columns, "set")
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -94,7 +86,7 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def candidates(firsts: DataFrame) -> DataFrame:
     """Pairs of line ids that meet in a bucket and can be similar: a, b, a < b."""
-    keyed = firsts.select("id", F.explode("sets").alias("x")).select(F.struct("id", "x.n", "x.sketch").alias("me"), F.explode("x.keys").alias("key"))
+    keyed = firsts.select(F.struct("id", "set.n", "set.sketch").alias("me"), F.explode("set.keys").alias("key"))
     order = Window.partitionBy("key").orderBy(F.xxhash64("me.id", "key"), "me.id")
     met = keyed.select(
         "me",
@@ -119,15 +111,11 @@ def similar(pairs: DataFrame) -> DataFrame:
     The sets are columns of their own and the test is a generator over them, so that each set is
     made once; a filter would be pushed below them and make them again for each use.
     """
-    short = (F.length("line_a") <= SHORT_MOST) & (F.length("line_b") <= SHORT_MOST)
-    long = (F.length("line_a") >= LONG_LEAST) & (F.length("line_b") >= LONG_LEAST)
-    none = F.array().cast("array<string>")
-    sets = {k: F.when(short, shingles(F.col(f"line_{k}"), 0)).when(long, shingles(F.col(f"line_{k}"), 1)).otherwise(none) for k in "ab"}
-    made = pairs.select("a", "b", sets["a"].alias("x"), sets["b"].alias("y"))
+    made = pairs.select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
     both, each = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
     # both / (each - both) >= SIMILARITY, with both standing once.
     holds = both * (1 + SIMILARITY) >= SIMILARITY * each - 1e-9
-    alike = F.explode(F.when(holds & (F.size("x") > 0), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+    alike = F.explode(F.when(holds, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
     return made.select("a", "b", alike.alias("alike")).select("a", "b")
 
 
@@ -147,8 +135,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = bands(lines_of(docs).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line")))
     place = F.struct("doc_id", "row", "line_no")
     # Copies of a line meet in partial aggregates before they are shuffled.
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("sets").alias("sets"))
-    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "sets"), "lines")
+    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("set").alias("set"))
+    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "set"), "lines")
     release(spark)
     pairs = Written(candidates(first.read()), "line-pairs")
     release(spark)
