@@ -89,3 +89,13 @@ def test_large_bucket_is_covered_again():
 
 def test_no_rows(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_ids_do_not_choose_the_documents_that_stay(spark):
+    rng = random.Random(8)
+    texts = [" ".join("w%d" % rng.randrange(3000) for _ in range(60)) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (9, texts[3]), (None, texts[4]), (7, texts[4]), (3, texts[5])]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, fp string")
+    got = [(r.doc_id, r.text, r.fp) for r in simhash.one_of_each(docs).collect()]
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (7, texts[4]), (3, texts[5])]
+    assert sorted(got, key=str) == sorted([(*r, "x") for r in want], key=str)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import textcore
@@ -33,7 +33,7 @@ def masks(radius: int = 3, bits: int = BITS, turn: int = 0) -> list[int]:
 
 
 def fingerprints(width: int = 3, seed: int = 42):
-    """A mapInArrow function: texts to the majority bits of their word shingles' XXH64."""
+    """A mapInArrow function: texts to the majority bits of their word shingles' XXH64; other columns stay."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
 
@@ -79,8 +79,9 @@ def fingerprints(width: int = 3, seed: int = 42):
                         ones = np.add.reduceat(((part >> np.uint64(b)) & np.uint64(1)).astype(np.int64), cuts)
                         value[rows] |= (2 * ones > per[rows]).astype(np.uint64) << np.uint64(b)
                 out[first:after] = value
+            others = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(out.view(np.int64), pa.int64())], names=["doc_id", "fp"]
+                [*map(batch.column, others), pa.array(out.view(np.int64), pa.int64())], names=[*others, "fp"]
             )
 
     return of
@@ -160,6 +161,24 @@ def link(radius: int = 3):
     return of
 
 
+def _groups(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (distinct fp, other columns) with root, the same for all that links within the radius connect."""
+    tables = F.array(
+        *[
+            F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >> 63 else m)).alias("key"))
+            for t, m in enumerate(masks(radius))
+        ]
+    )
+    keyed = nodes.select("fp", F.explode(tables).alias("x")).select(
+        F.col("x.t").cast("long").alias("t"), F.col("x.key").alias("key"), "fp"
+    )
+    parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    sorted_rows = keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key", "fp")
+    edges = sorted_rows.mapInArrow(link(radius), "a long, b long")
+    found = written(components(edges), "components")
+    return nodes.join(found, nodes.fp == found.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int = 42) -> DataFrame:
     """SimHash fingerprints and the groups that links within the radius connect.
 
@@ -173,22 +192,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
     schema = "doc_id long, fp long"
     marked = written(docs.select("doc_id", "text").mapInArrow(fingerprints(width, seed), schema), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    tables = F.array(
-        *[
-            F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m - 2**64 if m >> 63 else m)).alias("key"))
-            for t, m in enumerate(masks(radius))
-        ]
-    )
-    keyed = nodes.select("fp", F.explode(tables).alias("x")).select(
-        F.col("x.t").cast("long").alias("t"), F.col("x.key").alias("key"), "fp"
-    )
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    sorted_rows = keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key", "fp")
-    edges = sorted_rows.mapInArrow(link(radius), "a long, b long")
-    found = written(components(edges), "components")
-    rooted = nodes.join(found, nodes.fp == found.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _groups(nodes, radius)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = rooted.join(least, "root").select(F.col("fp").alias("f"), "component_id")
     return marked.join(of_fp, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
@@ -197,13 +201,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, seed: int
 def one_of_each(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
     """docs with one row of each group: that of the least doc_id, and of equal ids the least text.
 
-    All of docs' columns are kept. A group whose ids are all null keeps one row.
+    All of docs' columns are kept. A group whose ids are all null keeps one row. Ids only put the
+    rows of a group in order: documents of different groups that share an id, or have none, all stay.
     """
-    found = near_duplicates(docs, width, radius).groupBy("component_id").agg(F.min("fp").alias("_fp"))
-    kept = found.select(F.col("component_id").alias("_id"))
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    order = F.struct(F.coalesce("text", F.lit("")), *[F.xxhash64(c) for c in docs.columns if c != "text"])
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(order))
+    marks = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), "text")
+    marked = written(marks.mapInArrow(fingerprints(width), "_id long, _key long, fp long"), "fingerprints")
+    # The least id of a fingerprint and of a group, nulls last.
+    place = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"))
+    rooted = _groups(marked.groupBy("fp").agg(F.min(place).alias("least")), radius)
+    best = rooted.groupBy("root").agg(F.min("least").alias("best"))
+    of_fp = rooted.join(best, "root").where("least = best").select(F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("best.id").alias("_best"))
+    first = marked.join(of_fp, (F.col("fp") == F.col("_fp")) & F.col("_id").eqNullSafe(F.col("_best")))
+    first = first.select("_id", "_key", "_root").distinct()
+    rows = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")))
+    order = [F.coalesce("text", F.lit("")), *[F.xxhash64(c) for c in docs.columns if c != "text"]]
+    nth = F.row_number().over(Window.partitionBy("_root").orderBy(*order))
     return rows.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
