@@ -5,10 +5,12 @@ characters is one shingle.
 
 Each shingle is hashed to a place on a circle of 64 bits. A signature place is the first hash at or
 after a fixed point: two lines agree there exactly as often as their sets' Jaccard similarity. Three
-places make a band. A line is checked against the first line of its bucket and the NEIGHBOURS
-before it, in an order that differs from band to band: all pairs of a bucket of up to eight lines,
-and for larger ones, whose lines mostly meet in other bands too, pairs that grow with the lines and
-not with their square. Two bits of each place, packed in one number, and the sets' sizes travel with
+places make a band. A line is first checked against the first line of its bucket and the NEIGHBOURS
+before it, in an order that differs from band to band: all pairs of a bucket of up to eight lines.
+The lines of larger buckets that are not yet one connected group then have all their pairs between
+groups looked at: two sets of the similarity share one of the first shingles of each, rarest first
+(the prefix filter), so lines meet by those shingles, and no pair that can be similar is left out.
+Two bits of each place, packed in one number, and the sets' sizes travel with
 a line, so that pairs which can't be similar end in the bucket. The check of the others is the exact
 Jaccard similarity of the shingle sets. Connected components of what passes keep the first of their
 lines.
@@ -119,6 +121,55 @@ def similar(pairs: DataFrame) -> DataFrame:
     return made.select("a", "b", alike.alias("alike")).select("a", "b")
 
 
+def texts_of(docs: DataFrame, first: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, line of the wanted ids, cut from docs again."""
+    at = first.select("id", "doc_id", "row", "line_no").join(wanted, "id", "left_semi")
+    by_doc = at.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("line_no", "id")).alias("ids"))
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
+    texts = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
+    split = texts.select("ids", F.split("text", "\n").alias("all"))
+    line = split.select("all", F.explode("ids").alias("x")).select("x.id", trimmed(F.get("all", F.col("x.line_no"))).alias("line"))
+    return Written(line.dropDuplicates(["id"]), "line-texts").read()
+
+
+def with_texts(pairs: DataFrame, line: DataFrame) -> DataFrame:
+    left, right = (line.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b")
+
+
+def in_crowds(firsts: DataFrame, found: DataFrame) -> DataFrame:
+    """id, root of the lines in buckets of more than NEIGHBOURS + 1 lines that aren't all of one group."""
+    rooted = firsts.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "set.keys")
+    keyed = rooted.select("id", "root", F.explode("keys").alias("key"))
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("lines"), F.min("root").alias("low"), F.max("root").alias("high"))
+    crowds = crowds.where((F.col("lines") > NEIGHBOURS + 1) & (F.col("low") < F.col("high")))
+    return keyed.join(crowds, "key", "left_semi").select("id", "root").distinct()
+
+
+def rare_pairs(lines: DataFrame) -> DataFrame:
+    """Pairs of lines (id, root, line) of different roots that can be similar: a, b, a < b.
+
+    Of n shingles a similar line has at least SIMILARITY * n, so it holds one of any n - that + 1 of
+    them, and the least that both hold, in one order for all lines, is among the first so many of
+    each. Rarest first, few lines meet by one; and where that least one stands, enough must follow it
+    in both for the similarity. Roots are paired before their lines, so lines of one root never meet.
+    """
+    made = lines.select("id", "root", hashed(F.col("line")).alias("h")).select("id", "root", F.size("h").alias("n"), F.explode("h").alias("h"))
+    held = Written(made, "crowded-shingles").read()
+    often = held.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("often")).where("often > 1")
+    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "h"))
+    ranked = held.join(often, F.col("h") == F.col("g"), "left").withColumn("nth", nth)
+    rare = ranked.where(F.col("nth") <= F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9) + 1).where("often > 1")
+    rare = Written(rare.select("id", "root", "n", "nth", "h"), "rare-shingles").read()
+    roots = rare.select("h", "root").distinct()
+    met = roots.join(roots.withColumnRenamed("root", "root_b"), "h").where("root < root_b").withColumnRenamed("root", "root_a")
+    for k in "ab":
+        side = rare.select("h", F.col("root").alias(f"root_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}"), (F.col("n") - F.col("nth") + 1).alias(f"left_{k}"))
+        met = met.join(side, ["h", f"root_{k}"])
+    can = F.least("left_a", "left_b") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return met.where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with each line that is like a line before it removed, and n_lines, n_removed.
 
@@ -142,17 +193,17 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     release(spark)
     p = pairs.read()
     wanted = p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    at = first.read().select("id", "doc_id", "row", "line_no").join(wanted, "id", "left_semi")
-    by_doc = at.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("line_no", "id")).alias("ids"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    texts = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
-    split = texts.select("ids", F.split("text", "\n").alias("all"))
-    line = split.select("all", F.explode("ids").alias("x")).select("x.id", trimmed(F.get("all", F.col("x.line_no"))).alias("line"))
-    line = Written(line.dropDuplicates(["id"]), "line-texts")
+    line = texts_of(docs, first.read(), wanted)
     release(spark)
-    left, right = (line.read().select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    edges = similar(p.join(left, "a").join(right, "b"))
-    found = components(edges)
+    edges = Written(similar(with_texts(p, line)), "line-edges")
+    found = components(edges.read())
+    # Groups as found so far; what they leave open in buckets of more than NEIGHBOURS + 1 lines is looked at whole.
+    crowded = Written(in_crowds(first.read(), found), "crowded-lines")
+    if not crowded.read().isEmpty():
+        line = texts_of(docs, first.read(), crowded.read().select("id"))
+        more = Written(rare_pairs(line.join(crowded.read(), "id")), "crowded-pairs")
+        release(spark)
+        found = components(edges.read().unionByName(similar(with_texts(more.read(), line))))
     kept = first.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
     # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
     best = kept.where("root is not null").groupBy("root").agg(F.min(place).alias("best")).select("best.*")
