@@ -29,6 +29,7 @@ from weftgraph.llm.storage import Written, release
 SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 8, 3, 7
 #: Of PLACES pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
 PLACES, AGREE_LEAST = BANDS * IN_BAND, 16
+SLOT_BITS = 18
 #: The last dot steps over a whole character, so that no run begins inside a surrogate pair.
 EVERY_5 = r"(?s)(?=(.{5}))."
 
@@ -154,13 +155,26 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
     each. Rarest first, few lines meet by one; and where that least one stands, enough must follow it
     in both for the similarity. Roots are paired before their lines, so lines of one root never meet.
     """
-    made = lines.select("id", "root", hashed(F.col("line")).alias("h")).select("id", "root", F.size("h").alias("n"), F.explode("h").alias("h"))
-    held = Written(made, "crowded-shingles").read()
-    often = held.groupBy(F.col("h").alias("g")).agg(F.count("*").alias("often")).where("often > 1")
-    nth = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("often", F.lit(1)), "h"))
-    ranked = held.join(often, F.col("h") == F.col("g"), "left").withColumn("nth", nth)
-    rare = ranked.where(F.col("nth") <= F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9) + 1).where("often > 1")
-    rare = Written(rare.select("id", "root", "n", "nth", "h"), "rare-shingles").read()
+    made = lines.select("id", "root", hashed(F.col("line")).alias("h"))
+    # How often is counted by slots of hashes and kept as a power of two, one byte a slot: any order of
+    # shingles leaves out no pair, so slots that are shared only cost time.
+    slot = lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
+    slots = made.select(F.explode(F.transform("h", slot)).alias("slot")).groupBy("slot").agg(F.bin(F.count("*")).alias("often"))
+    often = bytearray(2**SLOT_BITS)
+    for row in slots.select("slot", F.length("often").alias("bits")).toLocalIterator():
+        often[row.slot] = row.bits
+    table = F.lit(bytes(often))
+
+    def ordered(h: Column) -> Column:
+        bits = F.ascii(F.substring(table, slot(h) + 1, F.lit(1)).cast("string")).cast("long")
+        return F.call_function("shiftleft", bits, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+
+    made = made.select("id", "root", F.size("h").alias("n"), F.sort_array(F.transform("h", ordered)).alias("h"))
+    most = (F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9) + 1).cast("int")
+    rare = made.select("id", "root", "n", F.posexplode(F.slice("h", F.lit(1), most)).alias("nth", "h"))
+    rare = rare.withColumn("nth", F.col("nth") + 1)
+    shared = rare.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    rare = Written(rare.join(shared, "h", "left_semi"), "rare-shingles").read()
     roots = rare.select("h", "root").distinct()
     met = roots.join(roots.withColumnRenamed("root", "root_b"), "h").where("root < root_b").withColumnRenamed("root", "root_a")
     for k in "ab":
