@@ -1,23 +1,14 @@
 import random
-import re
 
 from weftgraph.llm import fuzzy_lines
 
 
-def brute_shingles(line, kind):
-    if kind == 0:
-        return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
-    return {line[m.start() : m.start() + 8] for m in re.finditer(r"[⺀-ￜ]|[^\x20\x09-\x0D⺀-ￜ]+", line)}
+def runs(line):
+    return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
 
 
 def alike(a, b):
-    if len(a) <= 80 and len(b) <= 80:
-        x, y = brute_shingles(a, 0), brute_shingles(b, 0)
-    elif len(a) >= 65 and len(b) >= 65:
-        x, y = brute_shingles(a, 1), brute_shingles(b, 1)
-    else:
-        return False
-    return len(x & y) >= 0.8 * len(x | y)
+    return len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b))
 
 
 def brute(rows):
@@ -94,14 +85,6 @@ def test_no_rows(spark):
     assert fuzzy_lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def runs(line):
-    return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
-
-
-def plainly_alike(a, b):
-    return len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b))
-
-
 def test_long_lines_are_compared_whole(spark):
     rng = random.Random(3)
     ascii_, thai = "abcdefghijklmnopqrstuvwxyz0123456789", "กขคงจฉชซญดตถทธนบปผฝพฟมยรลวสหอ"
@@ -110,20 +93,14 @@ def test_long_lines_are_compared_whole(spark):
     emoji = ["".join(rng.choice("😀😁😂🤣😃😄😅😆😉😊") for _ in range(90)) for _ in range(3)]
     lines = urls + [x[:8] + y[8:] for x, y in zip(unspaced, reversed(unspaced))] + emoji
     copies = [x[:60] + "#" + x[61:] for x in lines]
-    assert all(plainly_alike(x, y) == (i == j) for i, x in enumerate(lines) for j, y in enumerate(lines))
-    assert all(plainly_alike(x, y) for x, y in zip(lines, copies))
+    assert all(alike(x, y) == (i == j) for i, x in enumerate(lines) for j, y in enumerate(lines))
+    assert all(alike(x, y) for x, y in zip(lines, copies))
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copies))], "doc_id long, text string")
     got = {r.doc_id: r for r in fuzzy_lines.dedup_lines(docs).collect()}
     assert got[1].text == "\n".join(lines) and got[1].n_removed == 0
     assert got[2].n_removed == len(lines)
 
 
-def test_against_brute_force_over_every_run(spark, monkeypatch):
-    """The same documents as above, held against the plain definition at every length."""
-    monkeypatch.setitem(globals(), "alike", plainly_alike)
-    test_against_brute_force(spark)
-
-
 def test_similar_lines_in_large_buckets_all_meet(spark):
     # Variants of one template, at about 0.74 to each other, share buckets; each has one copy at 0.82.
     rng = random.Random(2)
@@ -131,9 +108,36 @@ def test_similar_lines_in_large_buckets_all_meet(spark):
     template = some(106)
     lines = [template + some(18) for _ in range(600)]
     copies = [x[:-12] + some(12) for x in lines]
-    assert all(plainly_alike(x, y) for x, y in zip(lines, copies))
-    assert not any(plainly_alike(lines[0], x) for x in lines[1:] + copies[1:])
+    assert all(alike(x, y) for x, y in zip(lines, copies))
+    assert not any(alike(lines[0], x) for x in lines[1:] + copies[1:])
     docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(copies))], "doc_id long, text string")
     got = {r.doc_id: r for r in fuzzy_lines.dedup_lines(docs).collect()}
     assert got[1].n_removed == 0
     assert got[2].n_removed >= 0.98 * len(copies)
+
+
+def test_repeated_runs_and_lengths_that_differ(spark):
+    # Sets, not counts: 40 and 120 repeated characters have the same runs, a line of another character doesn't.
+    lines = ["=-" * 20, "=-" * 60, "x" * 40, "x" * 120, "x" * 70000, "y" * 40, "=-" * 19 + "?", "abcd", "abcde", "abc"]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1, 5: 0, 6: 0, 7: 0, 8: 0, 9: 0}
+
+
+def test_hot_buckets_are_dealt_over_salts(spark, monkeypatch):
+    # Every line is a variant of one, so that all of them share buckets, and some pairs are no copies.
+    monkeypatch.setattr(fuzzy_lines, "HOT_LEAST", 64)
+    monkeypatch.setattr(fuzzy_lines, "HOT_SAMPLE", 4)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    rng = random.Random(4)
+    some = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template = some(200)
+    lines = [template[:k] + some(6) + template[k + 6 :] for k in rng.choices(range(190), k=1500)]
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    sets = fuzzy_lines.Written(fuzzy_lines.signed(docs).withColumn("id", fuzzy_lines.F.monotonically_increasing_id()), "sets").read()
+    assert fuzzy_lines.dealt(sets).where("salt is not null").count() > 0
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    monkeypatch.setattr(fuzzy_lines, "dealt", lambda sets, f=fuzzy_lines.dealt: f(sets).withColumn("salt", fuzzy_lines.F.coalesce("salt", fuzzy_lines.F.pmod("id", fuzzy_lines.F.lit(3)))))
+    got = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(docs).collect()}
+    assert got[0] == 0 and sum(got.values()) == len(lines) - 1

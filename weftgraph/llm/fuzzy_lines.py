@@ -3,17 +3,21 @@
 A line's shingles are its runs of 5 characters, every one of them, at every length; a line under 5
 characters is one shingle.
 
-Each shingle is hashed to a place on a circle of 64 bits. A signature place is the first hash at or
-after a fixed point: two lines agree there exactly as often as their sets' Jaccard similarity. Three
-places make a band. A line is first checked against the first line of its bucket and the NEIGHBOURS
-before it, in an order that differs from band to band: all pairs of a bucket of up to eight lines.
-The lines of larger buckets that are not yet one connected group then have all their pairs between
-groups looked at: two sets of the similarity share one of the first shingles of each, rarest first
-(the prefix filter), so lines meet by those shingles, and no pair that can be similar is left out.
-Two bits of each place, packed in one number, and the sets' sizes travel with
-a line, so that pairs which can't be similar end in the bucket. The check of the others is the exact
-Jaccard similarity of the shingle sets. Connected components of what passes keep the first of their
-lines.
+A shingle's hash is 32 bits. A signature place is the hash nearest to a fixed point, by the value of
+hash XOR point: every shingle is as likely as any other to be nearest, so two lines agree at a place
+exactly as often as their sets' Jaccard similarity. Points come by the hash's first two bits in four
+parts of eight, so a shingle is held only against the points of its own part; a part without
+shingles takes the places of the next one. Shingles are exploded and aggregated in generated code.
+
+BANDS choices of IN_BAND places make the bucket keys of a line. Two bits of each place, packed in one
+number, travel with it, so that pairs that can't be similar end in the bucket. A line is held against
+the least of its bucket and the NEIGHBOURS before it: all pairs of a bucket of up to eight lines.
+First the pairs with the bucket's least are checked; then, of the other pairs, those still in
+different groups. The lines of larger buckets that are not one connected group after that have all
+their pairs between groups looked at: two sets of the similarity share one of the first shingles of
+each, rarest first (the prefix filter), so lines meet by those shingles, and no pair that can be
+similar is left out. The check of all pairs is the exact Jaccard similarity of the shingle sets.
+Connected components of what passes keep the first of their lines.
 """
 
 from __future__ import annotations
@@ -24,14 +28,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.llm.storage import Written, release
+from weftgraph.llm.storage import Written, scratch
 
-SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 8, 3, 7
+SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 16, 6, 7
+PARTS, POINTS = 4, 8
+PLACES = PARTS * POINTS
 #: Of PLACES pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
-PLACES, AGREE_LEAST = BANDS * IN_BAND, 16
+AGREE_LEAST = 22
+#: Characters of a line that are encoded at a time; runs go over from one stretch to the next.
+STRETCH = 65536
+#: One in so many lines tells which buckets are hot; only the dealing of rows depends on it.
+HOT_SAMPLE, HOT_LEAST = 64, 4096
 SLOT_BITS = 18
 #: The last dot steps over a whole character, so that no run begins inside a surrogate pair.
 EVERY_5 = r"(?s)(?=(.{5}))."
+PLACE = ("doc_id", "row", "line_no")
 
 
 def found(line: Column) -> Column:
@@ -47,65 +58,115 @@ def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def points() -> list[int]:
-    """Odd numbers in order; hashes are made even, so that sorted together they can be told apart."""
-    rng = random.Random(20)
-    return sorted(rng.randrange(-(2**63), 2**63) | 1 for _ in range(PLACES))
-
-
-def first_at_or_after(hashes: str):
-    """For the index of a fixed point among hashes and points, and its number: the first hash from there on, going round."""
-    return lambda i, k: F.get(hashes, F.when(i - k >= F.size(hashes), 0).otherwise(i - k))
-
-
-def packed(x: Column, k: Column) -> Column:
-    """Two bits of a place, at its own bits."""
-    return F.call_function("shiftleft", F.shiftright(x, 9).bitwiseAND(F.lit(3)), 2 * k)
-
-
 def hashed(line: Column) -> Column:
-    """The shingles' hashes, distinct, made even."""
-    return F.array_distinct(F.transform(found(line), lambda s: F.xxhash64(s).bitwiseAND(F.lit(-2))))
+    """The shingles' hashes, distinct."""
+    return F.array_distinct(F.transform(found(line), lambda s: F.xxhash64(s)))
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """lines (with column line) with set: struct(n, sketch, keys)."""
-    chosen = random.Random(50).sample(range(PLACES), PLACES)
-    fixed = F.array(*[F.lit(c) for c in points()])
-    out = lines.withColumn("_h", F.sort_array(hashed(F.col("line")))).withColumn("_m", F.sort_array(F.concat("_h", fixed)))
-    at = F.filter(F.transform("_m", lambda x, i: F.when(x.bitwiseAND(F.lit(1)) == 1, i)), lambda i: i.isNotNull())
-    out = out.withColumn("_p", F.transform(at, first_at_or_after("_h")))
-    sketch = F.aggregate(F.transform("_p", packed), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
-    keys = [F.xxhash64(F.lit(b), *[F.get("_p", F.lit(p)) for p in chosen[b::BANDS]]) for b in range(BANDS)]
-    held = F.struct(F.size("_h").alias("n"), sketch.alias("sketch"), F.array(*keys).alias("keys"))
-    return out.withColumn("set", held).select(*lines.columns, "set")
+def bands() -> list[list[int]]:
+    """The places of each band: slices of shuffled places, so that any two bands share few."""
+    rng = random.Random(50)
+    out: list[list[int]] = []
+    while len(out) < BANDS:
+        order = rng.sample(range(PLACES), PLACES)
+        out += [order[k : k + IN_BAND] for k in range(0, PLACES - IN_BAND + 1, IN_BAND)]
+    return out[:BANDS]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """Lines that hold more than white space, trimmed: doc_id, row, line_no, line."""
+    """Lines that hold more than white space, trimmed, with a key of 128 bits: doc_id, row, line_no, line, k1, k2."""
     keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return keyed.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
+    lines = keyed.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
+    return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line"))
+
+
+def signed(docs: DataFrame) -> DataFrame:
+    """The distinct lines: k1, k2, their first place, sketch and keys.
 
+    Copies of a line meet in partial aggregates before they are shuffled; everything after that
+    stays in the partitions of (k1, k2).
+    """
+    place = F.struct(*PLACE)
+    lines = lines_of(docs).groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("line").alias("line"))
+    held = ["k1", "k2", *PLACE]
+    # Four bytes a character, so that a run is a slice of bytes; the stretches overlap by four characters.
+    begins = F.sequence(F.lit(0), F.greatest(F.length("line") - 5, F.lit(0)), F.lit(STRETCH))
+    stretch = F.transform(begins, lambda s: F.encode(F.substring(F.col("line"), s + 1, F.lit(STRETCH + 4)), "UTF-32"))
+    stretches = lines.select("k1", "k2", "at.*", F.explode(stretch).alias("chars"))
+    last = F.greatest(F.floor(F.length("chars") / 4).cast("int") - 5, F.lit(0))
+    runs = stretches.select(*held, "chars", F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    run = F.substring(F.col("chars"), 4 * F.col("i") + 1, F.lit(20))
+    rows = runs.select(*held, F.shiftright(F.xxhash64(run), 32).cast("int").alias("h"))
+    rows = rows.select(*held, F.shiftrightunsigned("h", 30).alias("part"), F.col("h").bitwiseAND(F.lit(2**30 - 1)).alias("h"))
+    nearest = [F.min(F.col("h").bitwiseXOR(F.lit(j << 27))).alias(f"m{j}") for j in range(POINTS)]
+    parts = rows.groupBy(*held, "part").agg(*nearest)
+    wide = parts.groupBy(*held).agg(
+        *[F.min(F.when(F.col("part") == g, F.col(f"m{j}"))).alias(f"v{g}_{j}") for g in range(PARTS) for j in range(POINTS)]
+    )
+    full = wide.select(
+        *held, *[F.coalesce(*[f"v{g ^ t}_{j}" for t in range(PARTS)]).alias(f"p{g * POINTS + j}") for g in range(PARTS) for j in range(POINTS)]
+    )
+    sketch = F.lit(0).cast("long")
+    for k in range(PLACES):
+        bits = F.shiftright(f"p{k}", 9).bitwiseAND(F.lit(3)).cast("long")
+        sketch = sketch.bitwiseOR(F.shiftleft(bits, 2 * k))
+    keys = [F.xxhash64(F.lit(b), *[f"p{k}" for k in places]) for b, places in enumerate(bands())]
+    return full.select(*held, sketch.alias("sketch"), F.array(*keys).alias("keys"))
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Pairs of line ids that meet in a bucket and can be similar: a, b, a < b."""
-    keyed = firsts.select(F.struct("id", "set.n", "set.sketch").alias("me"), F.explode("set.keys").alias("key"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("me.id", "key"), "me.id")
-    met = keyed.select(
-        "me",
-        F.first("me").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x0"),
-        *[F.lag("me", k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)],
-    ).where("x1 is not null")
 
-    def can(x: Column) -> Column:
-        low, high = F.least(x["n"], F.col("me.n")), F.greatest(x["n"], F.col("me.n"))
-        differ = x["sketch"].bitwiseXOR(F.col("me.sketch"))
-        odd = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
-        return (x["id"] != F.col("me.id")) & (low >= SIMILARITY * high) & (F.bit_count(odd) <= PLACES - AGREE_LEAST)
+def dealt(sets: DataFrame) -> DataFrame:
+    """key, salt, id, sketch of each line and band; hot buckets are dealt over several salts.
 
-    others = F.filter(F.array(*[f"x{k}" for k in range(NEIGHBOURS + 1)]), lambda x: x.isNotNull() & can(x))
-    pairs = met.select("me.id", F.explode(F.array_distinct(F.transform(others, lambda x: x["id"]))).alias("other"))
-    return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    Which are hot is told by a sample of the lines; a bucket counts as hot beyond a quarter of a
+    partition's share, so there are at most about 4 x partitions of them, small enough to broadcast.
+    """
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = sets.select("id", "sketch", F.explode("keys").alias("key"))
+    limit = max(HOT_LEAST, sets.count() * BANDS // (4 * parts))
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).groupBy("key").count()
+    hot = sample.where(F.col("count") * HOT_SAMPLE >= limit).select("key", F.ceil(F.col("count") * HOT_SAMPLE * 2 / limit).alias("salts"))
+    hot = [(r.key, int(r.salts)) for r in hot.limit(64 * parts).collect()]
+    if not hot:
+        return rows.withColumn("salt", F.lit(None).cast("long"))
+    known = F.broadcast(spark.createDataFrame(hot, "key long, salts long"))
+    return rows.join(known, "key", "left").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), "salts")).drop("salts")
+
+
+def can(x: Column) -> Column:
+    """Whether a line's sketch and x's are alike enough."""
+    differ = x["sketch"].bitwiseXOR(F.col("sketch"))
+    odd = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
+    return (x["id"] != F.col("id")) & (F.bit_count(odd) <= PLACES - AGREE_LEAST)
+
+
+def looked_at(rows: DataFrame) -> DataFrame:
+    """id, first, others: lines that each line of rows (key, salt, id, sketch) meets and can be similar to.
+
+    key: the bucket's, where not all its pairs are looked at. head: whether it is the first of a
+    salted part. Only rows with something to tell.
+    """
+    me = F.struct("id", "sketch")
+    order = Window.partitionBy("key", "salt").orderBy("id")
+    near = order.rowsBetween(-NEIGHBOURS - 1, NEIGHBOURS + 1)
+    met = rows.select(
+        "key",
+        "salt",
+        "id",
+        "sketch",
+        F.first(me).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x0"),
+        F.count("*").over(near).alias("n"),
+        *[F.lag(me, k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)],
+    ).where("n > 1 or salt is not null")
+    others = F.filter(F.array(*[f"x{k}" for k in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull() & can(x) & (x["id"] != F.col("x0.id")))
+    out = met.select(
+        "id",
+        F.when(can(F.col("x0")), F.col("x0.id")).alias("first"),
+        F.transform(others, lambda x: x["id"]).alias("others"),
+        F.when((F.col("n") > NEIGHBOURS + 1) | F.col("salt").isNotNull(), F.col("key")).alias("key"),
+        F.when(F.col("salt").isNotNull() & (F.col("x0.id") == F.col("id")), F.col("sketch")).alias("head"),
+    )
+    return out.where("first is not null or size(others) > 0 or key is not null")
 
 
 def similar(pairs: DataFrame) -> DataFrame:
@@ -122,15 +183,11 @@ def similar(pairs: DataFrame) -> DataFrame:
     return made.select("a", "b", alike.alias("alike")).select("a", "b")
 
 
-def texts_of(docs: DataFrame, first: DataFrame, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
     """id, line of the wanted ids, cut from docs again."""
-    at = first.select("id", "doc_id", "row", "line_no").join(wanted, "id", "left_semi")
-    by_doc = at.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("line_no", "id")).alias("ids"))
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("row"))
-    texts = keyed.join(by_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row") == F.col("r")))
-    split = texts.select("ids", F.split("text", "\n").alias("all"))
-    line = split.select("all", F.explode("ids").alias("x")).select("x.id", trimmed(F.get("all", F.col("x.line_no"))).alias("line"))
-    return Written(line.dropDuplicates(["id"]), "line-texts").read()
+    ids = sets.select("id", "k1", "k2").join(wanted, "id", "left_semi")
+    line = lines_of(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    return line.join(ids, ["k1", "k2"]).select("id", "line")
 
 
 def with_texts(pairs: DataFrame, line: DataFrame) -> DataFrame:
@@ -138,13 +195,30 @@ def with_texts(pairs: DataFrame, line: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b")
 
 
-def in_crowds(firsts: DataFrame, found: DataFrame) -> DataFrame:
-    """id, root of the lines in buckets of more than NEIGHBOURS + 1 lines that aren't all of one group."""
-    rooted = firsts.join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("root"), "set.keys")
-    keyed = rooted.select("id", "root", F.explode("keys").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count("*").alias("lines"), F.min("root").alias("low"), F.max("root").alias("high"))
-    crowds = crowds.where((F.col("lines") > NEIGHBOURS + 1) & (F.col("low") < F.col("high")))
-    return keyed.join(crowds, "key", "left_semi").select("id", "root").distinct()
+def grouped(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """found (node, root) with the groups that edges (a, b) connect made one."""
+    a, b = (found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    ends = edges.join(a, "a", "left").join(b, "b", "left")
+    ends = ends.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    more = components(ends.where("a <> b")).select(F.col("node").alias("n"), F.col("root").alias("r"))
+    out = found.join(more, F.col("root") == F.col("n"), "left").select("node", F.coalesce("r", "root").alias("root"))
+    fresh = more.join(found, F.col("n") == F.col("node"), "left_anti").select(F.col("n").alias("node"), F.col("r").alias("root"))
+    return out.unionByName(fresh)
+
+
+def with_roots(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are in different groups."""
+    for k in "ab":
+        pairs = pairs.join(found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
+    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+
+
+def in_crowds(met: DataFrame, found: DataFrame) -> DataFrame:
+    """id, root of the lines in buckets not all of whose pairs were looked at and that aren't all of one group."""
+    large = met.where("key is not null").select("id", "key")
+    rooted = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
+    crowds = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    return rooted.join(crowds, "key", "left_semi").select("id", "root").distinct()
 
 
 def rare_pairs(lines: DataFrame) -> DataFrame:
@@ -184,6 +258,40 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
     return met.where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def stays_of(docs: DataFrame) -> DataFrame:
+    """d, r, stays: for each document and row, bits of the lines that stay, by line number and 63 to a part."""
+    sets = Written(signed(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
+    met = Written(looked_at(dealt(sets.read())), "line-meetings")
+    heads = met.read().where("head is not null").select("key", F.lit(None).cast("long").alias("salt"), "id", F.col("head").alias("sketch"))
+    if not heads.isEmpty():
+        met = Written(met.read().unionByName(looked_at(heads)), "line-meetings")
+    m = met.read()
+    pair = lambda x: (F.least("id", x).alias("a"), F.greatest("id", x).alias("b"))
+    first = m.where("first is not null").select(*pair("first")).distinct()
+    other = m.select("id", F.explode("others").alias("other")).select(*pair("other")).distinct()
+    wanted = m.select("id").unionByName(m.select(F.col("first").alias("id"))).unionByName(m.select(F.explode("others").alias("id")))
+    line = Written(texts_of(docs, sets.read(), wanted.distinct()), "line-texts").read()
+    edges = Written(similar(with_texts(first, line)), "line-edges").read()
+    found = components(edges)
+    edges = Written(similar(with_texts(with_roots(other, found), line)), "line-edges").read()
+    if not edges.isEmpty():
+        found = Written(grouped(found, edges), "line-groups").read()
+    # What the groups leave open in buckets of more than NEIGHBOURS + 1 lines is looked at whole.
+    crowded = Written(in_crowds(m, found), "crowded-lines").read()
+    if not crowded.isEmpty():
+        more = Written(rare_pairs(line.join(crowded, "id")), "crowded-pairs").read()
+        edges = Written(similar(with_texts(more, line)), "line-edges").read()
+        found = Written(grouped(found, edges), "line-groups").read()
+    kept = sets.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
+    # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
+    best = kept.where("root is not null").groupBy("root").agg(F.min(F.struct(*PLACE)).alias("best")).select("best.*")
+    kept = kept.where("root is null").select("doc_id", "row", "line_no").unionByName(best)
+    words = kept.groupBy("doc_id", "row", F.floor(F.col("line_no") / 63).cast("int").alias("part")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line_no") % 63)).alias("bits")
+    )
+    return words.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("stays"))
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with each line that is like a line before it removed, and n_lines, n_removed.
 
@@ -195,41 +303,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     treated alike. A text all of whose lines go is what white-space lines leave; a null text stays
     null with no lines. No rows give no rows.
     """
-    spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    lines = bands(lines_of(docs).withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line")))
-    place = F.struct("doc_id", "row", "line_no")
-    # Copies of a line meet in partial aggregates before they are shuffled.
-    firsts = lines.groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("set").alias("set"))
-    first = Written(firsts.select(F.monotonically_increasing_id().alias("id"), "at.*", "set"), "lines")
-    release(spark)
-    pairs = Written(candidates(first.read()), "line-pairs")
-    release(spark)
-    p = pairs.read()
-    wanted = p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
-    line = texts_of(docs, first.read(), wanted)
-    release(spark)
-    edges = Written(similar(with_texts(p, line)), "line-edges")
-    found = components(edges.read())
-    # Groups as found so far; what they leave open in buckets of more than NEIGHBOURS + 1 lines is looked at whole.
-    crowded = Written(in_crowds(first.read(), found), "crowded-lines")
-    if not crowded.read().isEmpty():
-        line = texts_of(docs, first.read(), crowded.read().select("id"))
-        more = Written(rare_pairs(line.join(crowded.read(), "id")), "crowded-pairs")
-        release(spark)
-        found = components(edges.read().unionByName(similar(with_texts(more.read(), line))))
-    kept = first.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
-    # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
-    best = kept.where("root is not null").groupBy("root").agg(F.min(place).alias("best")).select("best.*")
-    kept = kept.where("root is null").select("doc_id", "row", "line_no").unionByName(best)
-    words = kept.groupBy("doc_id", "row", F.floor(F.col("line_no") / 63).cast("int").alias("part")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("line_no") % 63)).alias("bits")
-    )
-    stays = Written(
-        words.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.map_from_entries(F.collect_list(F.struct("part", "bits"))).alias("stays")),
-        "kept-lines",
-    )
-    release(spark)
+    with scratch() as kept_tables:
+        kept_tables.append(stays := Written(stays_of(docs), "kept-lines"))
     keyed = docs.select(*names, F.xxhash64("text").alias("_row"))
     s = stays.read()
     out = keyed.join(s, F.col("doc_id").eqNullSafe(s.d) & (F.col("_row") == s.r), "left")
