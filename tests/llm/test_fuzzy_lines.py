@@ -136,8 +136,11 @@ def test_hot_buckets_are_dealt_over_salts(spark, monkeypatch):
     lines = [template[:k] + some(6) + template[k + 6 :] for k in rng.choices(range(190), k=1500)]
     docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
     sets = fuzzy_lines.Written(fuzzy_lines.signed(docs).withColumn("id", fuzzy_lines.F.monotonically_increasing_id()), "sets").read()
-    assert fuzzy_lines.dealt(sets).where("salt is not null").count() > 0
+    assert fuzzy_lines.dealt(sets).where("hot is not null").count() > 0
     spark.conf.set("spark.sql.shuffle.partitions", parts)
-    monkeypatch.setattr(fuzzy_lines, "dealt", lambda sets, f=fuzzy_lines.dealt: f(sets).withColumn("salt", fuzzy_lines.F.coalesce("salt", fuzzy_lines.F.pmod("id", fuzzy_lines.F.lit(3)))))
+    # The operator itself with every bucket dealt over three keys.
+    F = fuzzy_lines.F
+    salted = lambda sets: sets.select("id", "sketch", F.explode("keys").alias("hot")).withColumn("key", F.xxhash64("hot", F.pmod("id", F.lit(3))))
+    monkeypatch.setattr(fuzzy_lines, "dealt", salted)
     got = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(docs).collect()}
     assert got[0] == 0 and sum(got.values()) == len(lines) - 1

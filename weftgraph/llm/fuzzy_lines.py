@@ -1,76 +1,182 @@
-"""Line deduplication by MinHash over character shingles; DataFrame functions only.
+"""Line deduplication by MinHash over character shingles.
 
 A line's shingles are its runs of 5 characters, every one of them, at every length; a line under 5
-characters is one shingle.
-
-A shingle's hash is 32 bits. A signature place is the hash nearest to a fixed point, by the value of
-hash XOR point: every shingle is as likely as any other to be nearest, so two lines agree at a place
-exactly as often as their sets' Jaccard similarity. Points come by the hash's first two bits in four
-parts of eight, so a shingle is held only against the points of its own part; a part without
-shingles takes the places of the next one. Shingles are exploded and aggregated in generated code.
-
-BANDS choices of IN_BAND places make the bucket keys of a line. Two bits of each place, packed in one
-number, travel with it, so that pairs that can't be similar end in the bucket. A line is held against
-the least of its bucket and the NEIGHBOURS before it: all pairs of a bucket of up to eight lines.
-First the pairs with the bucket's least are checked; then, of the other pairs, those still in
-different groups. The lines of larger buckets that are not one connected group after that have all
-their pairs between groups looked at: two sets of the similarity share one of the first shingles of
-each, rarest first (the prefix filter), so lines meet by those shingles, and no pair that can be
-similar is left out. The check of all pairs is the exact Jaccard similarity of the shingle sets.
-Connected components of what passes keep the first of their lines.
+characters is one shingle. They are compared by hashes of 64 bits.
+
+Signatures: a shingle's hash gives it one of PLACES places and a value there; a place holds the
+least value, and an empty one what the next place holds. Every shingle is as likely as any other to
+be the least, so two lines agree at a place exactly as often as their sets' Jaccard similarity.
+BANDS times IN_BAND places, no place in two bands, make the bucket keys of a line: a pair at 0.8
+meets with probability 0.99. Two bits of each of 32 places, packed in one number, travel with a
+line, so that pairs that can't be similar end in the bucket.
+
+A line is held against the least of its bucket and the NEIGHBOURS before it: all pairs of a bucket
+of up to eight lines. First one pair of each line is checked, with the least line it meets; then, of
+the other pairs, those still in different groups. The lines of larger buckets that are not one
+connected group after that have all their pairs between groups looked at: two sets of the similarity
+share one of the first shingles of each, rarest first (the prefix filter), so lines meet by those
+shingles, and no pair is left out but by its sketch. The check of all pairs is the exact Jaccard
+similarity of the shingle sets. Connected components of what passes keep the first of their lines.
+
+Signatures and the exact check are Arrow functions, as DataFrame functions did not meet the limits
+(the README has their figures); buckets, joins, groups and texts are DataFrame functions.
 """
 
 from __future__ import annotations
 
-import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.llm import textcore
 from weftgraph.llm.components import components
 from weftgraph.llm.storage import Written, scratch
 
-SIMILARITY, BANDS, IN_BAND, NEIGHBOURS = 0.8, 16, 6, 7
-PARTS, POINTS = 4, 8
-PLACES = PARTS * POINTS
-#: Of PLACES pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
-AGREE_LEAST = 22
-#: Characters of a line that are encoded at a time; runs go over from one stretch to the next.
-STRETCH = 65536
+SIMILARITY, BANDS, IN_BAND, NEIGHBOURS, WIDTH = 0.8, 16, 6, 7, 5
+PLACES = BANDS * IN_BAND
+#: Of SKETCHED pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
+SKETCHED, AGREE_LEAST = 32, 22
+#: Lines, bytes of lines, and shingles that one numpy step works on.
+STEP_LINES, STEP_BYTES, STEP_RUNS = 4096, 1 << 18, 1 << 20
 #: One in so many lines tells which buckets are hot; only the dealing of rows depends on it.
 HOT_SAMPLE, HOT_LEAST = 64, 4096
 SLOT_BITS = 18
-#: The last dot steps over a whole character, so that no run begins inside a surrogate pair.
-EVERY_5 = r"(?s)(?=(.{5}))."
+#: Stands after the end of a line under 5 characters; no character has this number.
+NONE = 0x110000
+FACTORS = textcore.mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+EMPTY = np.uint32(2**32 - 1)
 PLACE = ("doc_id", "row", "line_no")
 
 
-def found(line: Column) -> Column:
-    """Shingles in order. A line under 5 characters is one."""
-    return F.when(F.length(line) < 5, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(EVERY_5), F.lit(1)))
-
-
-def shingles(line: Column) -> Column:
-    return F.array_distinct(found(line))
-
-
 def trimmed(line: Column) -> Column:
     return F.trim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
-def hashed(line: Column) -> Column:
-    """The shingles' hashes, distinct."""
-    return F.array_distinct(F.transform(found(line), lambda s: F.xxhash64(s)))
-
-
-def bands() -> list[list[int]]:
-    """The places of each band: slices of shuffled places, so that any two bands share few."""
-    rng = random.Random(50)
-    out: list[list[int]] = []
-    while len(out) < BANDS:
-        order = rng.sample(range(PLACES), PLACES)
-        out += [order[k : k + IN_BAND] for k in range(0, PLACES - IN_BAND + 1, IN_BAND)]
-    return out[:BANDS]
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' characters as numbers, and where each text begins (one more at the end). Bytes that are no UTF-8 count as one character each."""
+    raw = data.tobytes()
+    try:
+        text = raw.decode("utf-8")
+        begins = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+        at = begins[offsets]
+    except UnicodeDecodeError:
+        each = [raw[a:b].decode("utf-8", "backslashreplace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        text, at = "".join(each), np.append(0, np.cumsum([len(x) for x in each])).astype(np.int64)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), at
+
+
+def run_hashes(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of every run of WIDTH characters of each text, in order, and where each text's begin (one more at the end)."""
+    length = np.diff(at)
+    count = np.where(length > 0, np.maximum(length - WIDTH + 1, 1), 0)
+    bounds = np.append(0, np.cumsum(count))
+    if not bounds[-1]:
+        return np.zeros(0, np.uint64), bounds
+    # Runs that go over a text's end are left out, but for those of short texts, which end in NONE.
+    padded = np.append(chars, np.full(WIDTH - 1, NONE, np.uint32))
+    sums = padded[: len(chars)] * FACTORS[0]
+    for k in range(1, WIDTH):
+        sums += padded[k : k + len(chars)] * FACTORS[k]
+    for j in np.flatnonzero((length > 0) & (length < WIDTH)):
+        own = np.append(chars[at[j] : at[j + 1]], np.full(WIDTH, NONE, np.uint32))[:WIDTH].astype(np.uint64)
+        sums[at[j]] = (own * FACTORS).sum(dtype=np.uint64)
+    inside = np.ones(len(chars) + 1, np.int32)
+    keep = np.zeros(len(chars) + 1, np.int32)
+    some = count > 0
+    np.add.at(keep, at[:-1][some], 1)
+    np.add.at(keep, (at[:-1] + count)[some], -1)
+    inside = np.cumsum(keep)[:-1] > 0
+    return textcore.mixed(sums[inside]), bounds
+
+
+def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The PLACES values of each text that has hashes."""
+    n = len(bounds) - 1
+    least = np.full(n * PLACES, EMPTY, np.uint32)
+    text = np.repeat(np.arange(n), np.diff(bounds))
+    for low in range(0, len(hashes), STEP_RUNS):
+        h = hashes[low : low + STEP_RUNS]
+        place = ((h >> np.uint64(32)) * np.uint64(PLACES)) >> np.uint64(32)
+        np.minimum.at(least, text[low : low + STEP_RUNS] * PLACES + place.astype(np.int64), (h & np.uint64(2**32 - 1)).astype(np.uint32))
+    least = least.reshape(n, PLACES)
+    # The next place that holds something, going round.
+    at = np.where(least != EMPTY, np.arange(PLACES, dtype=np.int32), np.int32(3 * PLACES))
+    ahead = np.concatenate([at, at + PLACES], axis=1)[:, ::-1]
+    ahead = np.minimum.accumulate(ahead, axis=1)[:, ::-1][:, :PLACES] % PLACES
+    return np.take_along_axis(least, ahead, axis=1)
+
+
+def marks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sketch and band keys of signatures."""
+    v = values.astype(np.uint64)
+    keys = np.empty((len(v), BANDS), np.uint64)
+    for b in range(BANDS):
+        key = np.full(len(v), b + 1, np.uint64)
+        for k in range(b, PLACES, BANDS):
+            key = textcore.mixed(key * FACTORS[0] + v[:, k])
+        keys[:, b] = key
+    sketch = np.zeros(len(v), np.uint64)
+    for k in range(SKETCHED):
+        sketch |= ((v[:, k * PLACES // SKETCHED] >> np.uint64(9)) & np.uint64(3)) << np.uint64(2 * k)
+    return sketch.view(np.int64), keys.view(np.int64)
+
+
+HELD = ("k1", "k2", "doc_id", "row", "line_no")
+
+
+def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: HELD and line to HELD, sketch and keys."""
+    for batch in batches:
+        for low in range(0, len(batch), STEP_LINES):
+            part = batch.slice(low, STEP_LINES)
+            sketches, keys = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)]
+            for _, _, data, offsets in textcore.steps(part.column("line"), STEP_BYTES):
+                sketch, key = marks(signatures(*run_hashes(*characters(data, offsets))))
+                sketches.append(sketch)
+                keys.append(key)
+            flat = np.concatenate(keys).ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*map(part.column, HELD), pa.array(np.concatenate(sketches)), lists], names=[*HELD, "sketch", "keys"])
+
+
+def distinct_hashes(column: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's distinct shingle hashes, in order."""
+    for first, after, data, offsets in textcore.steps(column, STEP_BYTES):
+        hashes, bounds = run_hashes(*characters(data, offsets))
+        for k in range(after - first):
+            yield np.unique(hashes[bounds[k] : bounds[k + 1]])
+
+
+def checker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: pairs a, b, line_a, line_b to the a, b of those with the similarity."""
+    for batch in batches:
+        holds = np.zeros(len(batch), bool)
+        pairs = zip(distinct_hashes(batch.column("line_a")), distinct_hashes(batch.column("line_b")))
+        for k, (x, y) in enumerate(pairs):
+            each = len(x) + len(y)
+            if min(len(x), len(y)) * (1 + SIMILARITY) >= SIMILARITY * each - 1e-9:
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                # both / (each - both) >= SIMILARITY
+                holds[k] = both * (1 + SIMILARITY) >= SIMILARITY * each - 1e-9
+        kept = pa.array(holds)
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(kept) for c in "ab"], names=["a", "b"])
+
+
+def hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: id, root, sketch, line to id, root, sketch and the line's distinct shingle hashes."""
+    names = ["id", "root", "sketch"]
+    for batch in batches:
+        for low in range(0, len(batch), STEP_LINES):
+            part = batch.slice(low, STEP_LINES)
+            lists = list(distinct_hashes(part.column("line")))
+            ends = np.append(0, np.cumsum([len(x) for x in lists]))
+            flat = np.concatenate([*lists, np.zeros(0, np.uint64)]).view(np.int64)
+            h = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*map(part.column, names), h], names=[*names, "h"])
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -81,41 +187,14 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """The distinct lines: k1, k2, their first place, sketch and keys.
-
-    Copies of a line meet in partial aggregates before they are shuffled; everything after that
-    stays in the partitions of (k1, k2).
-    """
-    place = F.struct(*PLACE)
-    lines = lines_of(docs).groupBy("k1", "k2").agg(F.min(place).alias("at"), F.first("line").alias("line"))
-    held = ["k1", "k2", *PLACE]
-    # Four bytes a character, so that a run is a slice of bytes; the stretches overlap by four characters.
-    begins = F.sequence(F.lit(0), F.greatest(F.length("line") - 5, F.lit(0)), F.lit(STRETCH))
-    stretch = F.transform(begins, lambda s: F.encode(F.substring(F.col("line"), s + 1, F.lit(STRETCH + 4)), "UTF-32"))
-    stretches = lines.select("k1", "k2", "at.*", F.explode(stretch).alias("chars"))
-    last = F.greatest(F.floor(F.length("chars") / 4).cast("int") - 5, F.lit(0))
-    runs = stretches.select(*held, "chars", F.explode(F.sequence(F.lit(0), last)).alias("i"))
-    run = F.substring(F.col("chars"), 4 * F.col("i") + 1, F.lit(20))
-    rows = runs.select(*held, F.shiftright(F.xxhash64(run), 32).cast("int").alias("h"))
-    rows = rows.select(*held, F.shiftrightunsigned("h", 30).alias("part"), F.col("h").bitwiseAND(F.lit(2**30 - 1)).alias("h"))
-    nearest = [F.min(F.col("h").bitwiseXOR(F.lit(j << 27))).alias(f"m{j}") for j in range(POINTS)]
-    parts = rows.groupBy(*held, "part").agg(*nearest)
-    wide = parts.groupBy(*held).agg(
-        *[F.min(F.when(F.col("part") == g, F.col(f"m{j}"))).alias(f"v{g}_{j}") for g in range(PARTS) for j in range(POINTS)]
-    )
-    full = wide.select(
-        *held, *[F.coalesce(*[f"v{g ^ t}_{j}" for t in range(PARTS)]).alias(f"p{g * POINTS + j}") for g in range(PARTS) for j in range(POINTS)]
-    )
-    sketch = F.lit(0).cast("long")
-    for k in range(PLACES):
-        bits = F.shiftright(f"p{k}", 9).bitwiseAND(F.lit(3)).cast("long")
-        sketch = sketch.bitwiseOR(F.shiftleft(bits, 2 * k))
-    keys = [F.xxhash64(F.lit(b), *[f"p{k}" for k in places]) for b, places in enumerate(bands())]
-    return full.select(*held, sketch.alias("sketch"), F.array(*keys).alias("keys"))
+    """The distinct lines: k1, k2, their first place, sketch and keys. Copies of a line meet in partial aggregates before they are shuffled."""
+    lines = lines_of(docs).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("line").alias("line"))
+    schema = "k1 long, k2 long, doc_id long, row long, line_no int, sketch long, keys array<long>"
+    return lines.select("k1", "k2", "at.*", "line").mapInArrow(signer, schema)
 
 
 def dealt(sets: DataFrame) -> DataFrame:
-    """key, salt, id, sketch of each line and band; hot buckets are dealt over several salts.
+    """key, id, sketch, hot of each line and band; hot buckets are dealt over several keys, and hot is what theirs was.
 
     Which are hot is told by a sample of the lines; a bucket counts as hot beyond a quarter of a
     partition's share, so there are at most about 4 x partitions of them, small enough to broadcast.
@@ -125,74 +204,58 @@ def dealt(sets: DataFrame) -> DataFrame:
     rows = sets.select("id", "sketch", F.explode("keys").alias("key"))
     limit = max(HOT_LEAST, sets.count() * BANDS // (4 * parts))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).groupBy("key").count()
-    hot = sample.where(F.col("count") * HOT_SAMPLE >= limit).select("key", F.ceil(F.col("count") * HOT_SAMPLE * 2 / limit).alias("salts"))
-    hot = [(r.key, int(r.salts)) for r in hot.limit(64 * parts).collect()]
+    crowd = sample.where(F.col("count") * HOT_SAMPLE >= limit).select("key", F.ceil(F.col("count") * HOT_SAMPLE * 2 / limit).alias("salts"))
+    hot = [(r.key, int(r.salts)) for r in crowd.limit(64 * parts).collect()]
     if not hot:
-        return rows.withColumn("salt", F.lit(None).cast("long"))
+        return rows.withColumn("hot", F.lit(None).cast("long"))
     known = F.broadcast(spark.createDataFrame(hot, "key long, salts long"))
-    return rows.join(known, "key", "left").withColumn("salt", F.pmod(F.xxhash64(F.lit("salt"), "id"), "salts")).drop("salts")
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "id"), F.col("salts"))
+    out = rows.join(known, "key", "left")
+    return out.select("id", "sketch", F.when(salt.isNotNull(), F.xxhash64("key", salt)).otherwise(F.col("key")).alias("key"), F.when(salt.isNotNull(), F.col("key")).alias("hot"))
 
 
-def can(x: Column) -> Column:
-    """Whether a line's sketch and x's are alike enough."""
-    differ = x["sketch"].bitwiseXOR(F.col("sketch"))
+def can(x: Column, y: Column) -> Column:
+    """Whether two sketches are alike enough."""
+    differ = x.bitwiseXOR(y)
     odd = differ.bitwiseOR(F.shiftright(differ, 1)).bitwiseAND(F.lit(0x5555555555555555))
-    return (x["id"] != F.col("id")) & (F.bit_count(odd) <= PLACES - AGREE_LEAST)
+    return F.bit_count(odd) <= SKETCHED - AGREE_LEAST
 
 
 def looked_at(rows: DataFrame) -> DataFrame:
-    """id, first, others: lines that each line of rows (key, salt, id, sketch) meets and can be similar to.
+    """id, first, others: lines that each line of rows (key, id, sketch, hot) meets and can be similar to.
 
-    key: the bucket's, where not all its pairs are looked at. head: whether it is the first of a
-    salted part. Only rows with something to tell.
+    key: the bucket's, where not all its pairs are looked at. head: the sketch of the first of a
+    part of a hot bucket. Only rows with something to tell. Buckets of one line, which most are,
+    leave before anything is sorted; both sides of that join read one exchange.
     """
-    me = F.struct("id", "sketch")
-    order = Window.partitionBy("key", "salt").orderBy("id")
-    near = order.rowsBetween(-NEIGHBOURS - 1, NEIGHBOURS + 1)
-    met = rows.select(
-        "key",
-        "salt",
-        "id",
-        "sketch",
-        F.first(me).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("x0"),
-        F.count("*").over(near).alias("n"),
-        *[F.lag(me, k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)],
-    ).where("n > 1 or salt is not null")
-    others = F.filter(F.array(*[f"x{k}" for k in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull() & can(x) & (x["id"] != F.col("x0.id")))
+    met = rows.repartition("key")
+    buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min_by("sketch", "id").alias("low_sketch"), F.max("hot").alias("whole"))
+    met = met.drop("hot").join(buckets.where("n > 1 or whole is not null").hint("shuffle_hash"), "key")
+    order = Window.partitionBy("key").orderBy("id")
+    met = met.select("*", *[F.lag(F.struct("id", "sketch"), k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)])
+    sketch = F.col("sketch")
+    others = F.filter(F.array(*[f"x{k}" for k in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull() & can(x["sketch"], sketch) & (x["id"] != F.col("low")))
     out = met.select(
         "id",
-        F.when(can(F.col("x0")), F.col("x0.id")).alias("first"),
+        F.when((F.col("low") != F.col("id")) & can(F.col("low_sketch"), sketch), F.col("low")).alias("first"),
         F.transform(others, lambda x: x["id"]).alias("others"),
-        F.when((F.col("n") > NEIGHBOURS + 1) | F.col("salt").isNotNull(), F.col("key")).alias("key"),
-        F.when(F.col("salt").isNotNull() & (F.col("x0.id") == F.col("id")), F.col("sketch")).alias("head"),
+        F.coalesce("whole", F.when(F.col("n") > NEIGHBOURS + 1, F.col("key"))).alias("key"),
+        F.when(F.col("whole").isNotNull() & (F.col("low") == F.col("id")), sketch).alias("head"),
     )
     return out.where("first is not null or size(others) > 0 or key is not null")
 
 
-def similar(pairs: DataFrame) -> DataFrame:
-    """a, b of the pairs (a, b, line_a, line_b) whose shingle sets' Jaccard similarity is at least SIMILARITY.
-
-    The sets are columns of their own and the test is a generator over them, so that each set is
-    made once; a filter would be pushed below them and make them again for each use.
-    """
-    made = pairs.select("a", "b", shingles(F.col("line_a")).alias("x"), shingles(F.col("line_b")).alias("y"))
-    both, each = F.size(F.array_intersect("x", "y")), F.size("x") + F.size("y")
-    # both / (each - both) >= SIMILARITY, with both standing once.
-    holds = both * (1 + SIMILARITY) >= SIMILARITY * each - 1e-9
-    alike = F.explode(F.when(holds, F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
-    return made.select("a", "b", alike.alias("alike")).select("a", "b")
+def similar(pairs: DataFrame, line: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b) whose lines' shingle sets have a Jaccard similarity of at least SIMILARITY."""
+    left, right = (line.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(checker, "a long, b long")
 
 
 def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, line of the wanted ids, cut from docs again."""
-    ids = sets.select("id", "k1", "k2").join(wanted, "id", "left_semi")
+    """id, sketch, line of the wanted ids, cut from docs again."""
+    ids = sets.select("id", "sketch", "k1", "k2").join(wanted, "id", "left_semi")
     line = lines_of(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    return line.join(ids, ["k1", "k2"]).select("id", "line")
-
-
-def with_texts(pairs: DataFrame, line: DataFrame) -> DataFrame:
-    left, right = (line.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
-    return pairs.join(left, "a").join(right, "b")
+    return line.join(ids, ["k1", "k2"]).select("id", "sketch", "line")
 
 
 def grouped(found: DataFrame, edges: DataFrame) -> DataFrame:
@@ -222,14 +285,14 @@ def in_crowds(met: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def rare_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs of lines (id, root, line) of different roots that can be similar: a, b, a < b.
+    """Pairs of lines (id, root, sketch, line) of different roots that can be similar: a, b, a < b.
 
     Of n shingles a similar line has at least SIMILARITY * n, so it holds one of any n - that + 1 of
     them, and the least that both hold, in one order for all lines, is among the first so many of
     each. Rarest first, few lines meet by one; and where that least one stands, enough must follow it
     in both for the similarity. Roots are paired before their lines, so lines of one root never meet.
     """
-    made = lines.select("id", "root", hashed(F.col("line")).alias("h"))
+    made = lines.select("id", "root", "sketch", "line").mapInArrow(hash_lists, "id long, root long, sketch long, h array<long>")
     # How often is counted by slots of hashes and kept as a power of two, one byte a slot: any order of
     # shingles leaves out no pair, so slots that are shared only cost time.
     slot = lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
@@ -243,44 +306,44 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
         bits = F.ascii(F.substring(table, slot(h) + 1, F.lit(1)).cast("string")).cast("long")
         return F.call_function("shiftleft", bits, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    made = made.select("id", "root", F.size("h").alias("n"), F.sort_array(F.transform("h", ordered)).alias("h"))
+    made = made.select("id", "root", "sketch", F.size("h").alias("n"), F.sort_array(F.transform("h", ordered)).alias("h"))
     most = (F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9) + 1).cast("int")
-    rare = made.select("id", "root", "n", F.posexplode(F.slice("h", F.lit(1), most)).alias("nth", "h"))
+    rare = made.select("id", "root", "sketch", "n", F.posexplode(F.slice("h", F.lit(1), most)).alias("nth", "h"))
     rare = rare.withColumn("nth", F.col("nth") + 1)
     shared = rare.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
     rare = Written(rare.join(shared, "h", "left_semi"), "rare-shingles").read()
     roots = rare.select("h", "root").distinct()
     met = roots.join(roots.withColumnRenamed("root", "root_b"), "h").where("root < root_b").withColumnRenamed("root", "root_a")
     for k in "ab":
-        side = rare.select("h", F.col("root").alias(f"root_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}"), (F.col("n") - F.col("nth") + 1).alias(f"left_{k}"))
+        side = rare.select("h", F.col("root").alias(f"root_{k}"), F.col("id").alias(k), F.col("sketch").alias(f"sketch_{k}"), F.col("n").alias(f"n_{k}"), (F.col("n") - F.col("nth") + 1).alias(f"left_{k}"))
         met = met.join(side, ["h", f"root_{k}"])
-    can = F.least("left_a", "left_b") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n_a") + F.col("n_b")) - 1e-9
-    return met.where(can).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    fits = F.least("left_a", "left_b") * (1 + SIMILARITY) >= SIMILARITY * (F.col("n_a") + F.col("n_b")) - 1e-9
+    return met.where(fits & can(F.col("sketch_a"), F.col("sketch_b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def stays_of(docs: DataFrame) -> DataFrame:
     """d, r, stays: for each document and row, bits of the lines that stay, by line number and 63 to a part."""
     sets = Written(signed(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
     met = Written(looked_at(dealt(sets.read())), "line-meetings")
-    heads = met.read().where("head is not null").select("key", F.lit(None).cast("long").alias("salt"), "id", F.col("head").alias("sketch"))
+    heads = met.read().where("head is not null").select("key", "id", F.col("head").alias("sketch"), F.lit(None).cast("long").alias("hot"))
     if not heads.isEmpty():
         met = Written(met.read().unionByName(looked_at(heads)), "line-meetings")
     m = met.read()
     pair = lambda x: (F.least("id", x).alias("a"), F.greatest("id", x).alias("b"))
-    first = m.where("first is not null").select(*pair("first")).distinct()
-    other = m.select("id", F.explode("others").alias("other")).select(*pair("other")).distinct()
+    first = m.where("first is not null").groupBy("id").agg(F.min("first").alias("first")).select(*pair("first"))
+    other = m.select("id", F.explode(F.array_append("others", F.col("first"))).alias("other")).where("other is not null").select(*pair("other")).distinct()
     wanted = m.select("id").unionByName(m.select(F.col("first").alias("id"))).unionByName(m.select(F.explode("others").alias("id")))
     line = Written(texts_of(docs, sets.read(), wanted.distinct()), "line-texts").read()
-    edges = Written(similar(with_texts(first, line)), "line-edges").read()
+    edges = Written(similar(first, line), "line-edges").read()
     found = components(edges)
-    edges = Written(similar(with_texts(with_roots(other, found), line)), "line-edges").read()
+    edges = Written(similar(with_roots(other, found), line), "line-edges").read()
     if not edges.isEmpty():
         found = Written(grouped(found, edges), "line-groups").read()
     # What the groups leave open in buckets of more than NEIGHBOURS + 1 lines is looked at whole.
     crowded = Written(in_crowds(m, found), "crowded-lines").read()
     if not crowded.isEmpty():
         more = Written(rare_pairs(line.join(crowded, "id")), "crowded-pairs").read()
-        edges = Written(similar(with_texts(more, line)), "line-edges").read()
+        edges = Written(similar(more, line), "line-edges").read()
         found = Written(grouped(found, edges), "line-groups").read()
     kept = sets.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
     # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
