@@ -55,3 +55,26 @@ def test_windows_under_one_hash_are_told_apart():
 
 def test_no_rows(spark):
     assert superkmer.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_hot_minimisers_are_dealt_over_parts(spark, monkeypatch):
+    """The run with the least hash of all stands in every window of most texts, so its bucket is hot."""
+    monkeypatch.setattr(superkmer, "HOT_SAMPLE", 1)
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(400)]
+    runs = [f"{a} {b}".encode() for a in words[:40] for b in words[:40]]
+    hashes = [int(superkmer.textcore.RangeHash(np.frombuffer(r, np.uint8))(np.array([0]), np.array([len(r)]))[0]) for r in runs]
+    hot = runs[int(np.argmin(hashes))].decode().split()
+    rows = []
+    for i in range(150):
+        w = []
+        while len(w) < 120:
+            w += hot + [rng.choice(words) for _ in range(rng.randrange(3, 9))]
+        if i % 5 == 0:
+            w[40:40] = rows[0][1].split()[10:40] if rows else []
+        rows.append((i, " ".join(w)))
+    rows += [(None, rows[3][1]), (None, "q " + rows[4][1]), (2**62, rows[5][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert superkmer.hot_parts(docs, 32, 13, 2)
+    got = [tuple(r) for r in superkmer.dedup_substrings(docs, buckets=32).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows), key=str)

@@ -5,6 +5,10 @@ runs of `inner` words. Consecutive windows with the same minimiser travel as one
 the minimiser's bucket; equal windows have equal minimisers, so all copies of a window meet in one
 bucket, where sorting their hashes, and comparing the bytes of those that agree, counts them
 exactly. Copies of a packed string within a step of texts travel once, with the places they come from.
+
+A minimiser that very many windows share would make its bucket hot. Hot buckets, as a sample of the
+texts tells them, are dealt over parts by a second minimiser, the least hash among the window's
+longer runs, which equal windows share too; so the counts stay exact, however the sample falls.
 """
 
 from __future__ import annotations
@@ -19,11 +23,13 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import textcore
 
-WIDTH, INNER = 13, 2
+WIDTH, INNER, INNER_HOT = 13, 2, 6
+#: One in so many texts tells which buckets are hot: those of HOT times the mean size. Only the dealing depends on it.
+HOT_SAMPLE, HOT = 64, 4
 PACKED = "bucket int, strings binary, size long, places binary, n long"
-FOUND = "doc long, row int, start int, upto int"
+FOUND = "doc long, row long, start int, upto int"
 #: Arrays that tell where packed strings come from; doc travels as differences.
-PLACES = (("ref", np.int32), ("doc", np.int64), ("row", np.int32), ("start", np.int32))
+PLACES = (("ref", np.int32), ("doc", np.int64), ("row", np.int64), ("start", np.int32))
 LEVEL = 5
 
 
@@ -61,8 +67,50 @@ def joined_words(data: np.ndarray, offsets: np.ndarray):
     return out, new, lengths, at
 
 
-def packer(buckets: int, width: int, inner: int):
+def minimisers(hashed: textcore.RangeHash, new: np.ndarray, lengths: np.ndarray, width: int, inner: int) -> np.ndarray:
+    """The least hash among each window's runs of inner words, for every run of width words of a step."""
+    n = len(lengths)
+    return textcore.sliding_min(hashed(new[: n - inner + 1], new[inner - 1 : n] + lengths[inner - 1 :]), width - inner + 1)
+
+
+def loads(buckets: int, width: int, inner: int):
+    """A mapInArrow function: texts to how many windows each bucket gets."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in textcore.steps(batch.column("text")):
+                data, new, lengths, at = joined_words(data, offsets)
+                if len(lengths) < width:
+                    continue
+                least = minimisers(textcore.RangeHash(data), new, lengths, width, inner)
+                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+                valid = text[: len(least)] == text[width - 1 :]
+                total += np.bincount((least[valid] % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+    return of
+
+
+def hot_parts(texts: DataFrame, buckets: int, width: int, inner: int) -> dict[int, tuple[int, int]]:
+    """Hot buckets: the first of the numbers their parts have, and how many. At most 1.25 x buckets parts in all."""
+    sample = texts.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(HOT_SAMPLE)) == 0).select("text")
+    found = sample.mapInArrow(loads(buckets, width, inner), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    mean = sum(r.n for r in found) / buckets
+    out, upto = {}, buckets
+    for r in sorted(found):
+        if r.n > HOT * mean:
+            out[r.bucket] = (upto, -int(-r.n // mean))
+            upto += out[r.bucket][1]
+    return out
+
+
+def packer(buckets: int, width: int, inner: int, hot: dict[int, tuple[int, int]]):
     """A mapInArrow function: (doc, row, text) to packed strings by bucket."""
+    first_of, parts_of = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+    for k, (first_part, n_parts) in hot.items():
+        first_of[k], parts_of[k] = first_part, n_parts
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,18 +122,23 @@ def packer(buckets: int, width: int, inner: int):
                 if n < width:
                     continue
                 hashed = textcore.RangeHash(data)
-                runs = hashed(new[: n - inner + 1], new[inner - 1 : n] + lengths[inner - 1 :])
-                least = textcore.sliding_min(runs, width - inner + 1)
+                least = minimisers(hashed, new, lengths, width, inner)
+                goes = (least % np.uint64(buckets)).astype(np.int64)
+                if hot:
+                    finer = minimisers(hashed, new, lengths, width, min(INNER_HOT, width))
+                    warm = parts_of[goes] > 0
+                    least = np.where(warm, finer, least)
+                    goes[warm] = first_of[goes[warm]] + (finer[warm] % parts_of[goes[warm]].astype(np.uint64)).astype(np.int64)
                 text = np.repeat(np.arange(after - first), np.diff(at))
                 valid = text[: n - width + 1] == text[width - 1 :]
                 opens = valid.copy()
-                opens[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (text[1 : len(valid)] != text[: len(valid) - 1])
+                opens[1:] &= ~valid[:-1] | (least[1:] != least[:-1]) | (goes[1:] != goes[:-1]) | (text[1 : len(valid)] != text[: len(valid) - 1])
                 closes = valid.copy()
                 closes[:-1] &= ~valid[1:] | opens[1:]
                 begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + width  # words
                 if not len(begin):
                     continue
-                to = (least[begin] % np.uint64(buckets)).astype(np.int64)
+                to = goes[begin]
                 order = np.argsort(to, kind="stable")
                 begin, end, to = begin[order], end[order], to[order]
                 raw = data.tobytes()
@@ -137,7 +190,7 @@ def same_windows(raw: bytes, low: np.ndarray, high: np.ndarray, hashed: np.ndarr
 
 def counter(width: int):
     """An applyInArrow function: a bucket's packed strings to word ranges that earlier documents have."""
-    schema = pa.schema([("doc", pa.int64()), ("row", pa.int32()), ("start", pa.int32()), ("upto", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("upto", pa.int32())])
 
     def of(table: pa.Table) -> pa.Table:
         strings, ref, doc, row, start, known = [], [], [], [], [], 0
@@ -197,7 +250,7 @@ def counter(width: int):
             b = np.append(a[1:], len(place)) - 1
             for x, y in zip(out, (doc[place[a]], row[place[a]], word[a], word[b] + width)):
                 x.append(y)
-        kinds = (np.int64, np.int32, np.int32, np.int32)
+        kinds = (np.int64, np.int64, np.int32, np.int32)
         return pa.Table.from_arrays(
             [pa.array(np.concatenate(x).astype(k) if x else np.zeros(0, k)) for x, k in zip(out, kinds)], schema=schema
         )
@@ -237,17 +290,20 @@ def dedup_substrings(docs: DataFrame, width: int = WIDTH, inner: int = INNER, bu
     """Each text without the words of windows that a document with a smaller id also has.
 
     docs: doc_id, text; other columns are ignored. Windows are judged on the input. A null text has
-    no words. A null doc_id counts as larger than any; rows with one doc_id are one document as to
-    which is smaller, and rows stay rows. buckets: parts that windows go to, eight to a shuffle
-    partition where not given. Returns doc_id, text (kept words, joined by single spaces), n_words,
+    no words. A null doc_id counts as larger than any, as 2**63 - 1 does; rows with one doc_id, or
+    none, are one document as to which is smaller, and rows stay rows. buckets: parts that windows
+    go to, eight to a shuffle partition where not given, besides those of hot ones. Returns doc_id, text (kept words, joined by single spaces), n_words,
     n_removed; no rows give no rows.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(
-        "doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), F.hash("text").alias("row"), "text"
-    )
-    packed = keyed.select("doc", "row", "text").mapInArrow(packer(buckets or 8 * parts, width, inner), PACKED)
+    # Rows of one id are told apart by their text: by 32 bits, of which squeezed places stay small, and by 64 without an id.
+    key = F.xxhash64("text")
+    row = F.when(F.col("doc_id").isNull(), key).otherwise(key.bitwiseAND(F.lit(2**32 - 1)))
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), row.alias("row"), "text")
+    buckets = buckets or 8 * parts
+    hot = hot_parts(docs, buckets, width, inner)
+    packed = keyed.select("doc", "row", "text").mapInArrow(packer(buckets, width, inner, hot), PACKED)
     found = packed.groupBy("bucket").applyInArrow(counter(width), FOUND)
     ranges = found.groupBy(F.col("doc").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("start", "upto")).alias("ranges"))
     with_ranges = keyed.join(ranges, (F.col("doc") == F.col("d")) & (F.col("row") == F.col("r")), "left")
