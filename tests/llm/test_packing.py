@@ -72,6 +72,54 @@ def test_counts_are_packed_whole(counts):
             assert offset == at
             at += length
         assert at <= capacity
-    total = sum(k * n for k, n in counts.items())
-    least = max(-(-total // capacity), sum(n for k, n in counts.items() if 2 * k > capacity))
-    assert len(bins) <= least * 11 / 9 + 4
+    assert len(bins) <= least_sequences(counts, capacity) * 11 / 9 + 4
+
+
+def least_sequences(counts, capacity):
+    """A lower bound: volume, volume beside the items that nothing of a length joins, and two large items to a sequence."""
+    n = lambda low, high: sum(m for k, m in counts.items() if low <= k <= high)
+    found = [-(-sum(k * m for k, m in counts.items()) // capacity), n(capacity // 2 + 1, capacity)]
+    for t in [k for k in counts if 2 * k <= capacity]:
+        room = sum((capacity - k) * m for k, m in counts.items() if capacity < 2 * k <= 2 * (capacity - t))
+        small = sum(k * m for k, m in counts.items() if t <= k and 2 * k <= capacity)
+        found.append(n(capacity - t + 1, capacity) + n(capacity // 2 + 1, capacity - t) + max(0, -(-(small - room) // capacity)))
+        if 3 * t > capacity:
+            found.append(n(capacity - t + 1, capacity) + -(-n(t, capacity - t) // 2))
+    return max(found)
+
+
+def optimum(items, capacity):
+    """The fewest sequences, by trying every place of each item, longest first."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def put(k, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if k == len(items):
+            best = len(room)
+            return
+        for at in {r: i for i, r in enumerate(room) if r >= items[k]}.values():
+            put(k + 1, room[:at] + [room[at] - items[k]] + room[at + 1 :])
+        put(k + 1, room + [capacity - items[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 60), min_size=1, max_size=9))
+def test_few_pieces_are_packed_almost_best(items):
+    counts = {k: items.count(k) for k in items}
+    used = {s + k // each for _, _, n, s, each, _ in packing.pack_counts(counts, 60) for k in range(n)}
+    best = optimum(items, 60)
+    assert least_sequences(counts, 60) <= best <= len(used) <= best + 1
+
+
+def test_full_pieces_and_frequent_lengths(spark):
+    docs = spark.createDataFrame([(i, "word " * (4095 if i % 2 else 3)) for i in range(40)], "doc_id long, text string")
+    rows = packing.pack(docs, tokenizer_path()).collect()
+    assert len(rows) >= 40
+    n = check_places(rows, packing.CAPACITY)
+    total = sum(r.length for r in rows)
+    assert -(-total // packing.CAPACITY) <= n <= -(-total // packing.CAPACITY) + 1

@@ -229,7 +229,7 @@ def pack_counts(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[
     return out
 
 
-def placed(placements: list[tuple[int, int, int, int, int, int]], salts: int):
+def placed(placements: list[tuple[int, int, int, int, int, int]]):
     """A mapInArrow function: (length, rank) to (sequence_id, offset)."""
     table = np.array(sorted(placements), np.int64).reshape(-1, 6)
     key = (table[:, 0] << 48) + table[:, 1]
@@ -251,34 +251,40 @@ def placed(placements: list[tuple[int, int, int, int, int, int]], salts: int):
     return of
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, salts: int = 64) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Token pieces of every document and their places in sequences of at most capacity tokens.
 
     docs: doc_id, text; other columns are ignored. A document is the tokenizer's ids of its text
     (null: empty), then end_id; longer ones are cut into pieces of the capacity, the last one
-    shorter. Every row is a document, with repeated or null ids too. salts: parts into which each
-    length's pieces are dealt to be ranked, so that a frequent length isn't one task. Returns
-    doc_id, piece, start, length, ids_crc32, sequence_id, offset; no rows give no rows.
+    shorter. Every row is a document, with repeated or null ids too. Full pieces are sequences of
+    their own. The others are ranked by length; a length's pieces are dealt to as many parts as its
+    share of all pieces asks, so that a frequent one isn't one task. Returns doc_id, piece, start,
+    length, ids_crc32, sequence_id, offset; no rows give no rows.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    cut = docs.select("doc_id", "text").mapInArrow(pieces(tokenizer, capacity, end_id), schema)
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int")
-    cut = written(cut.withColumn("salt", salt), "pieces")
-    totals = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    # At most capacity x salts rows, whatever the corpus.
-    counted = sorted((r.length, r.salt, r.n) for r in totals.collect())
-    counts: dict[int, int] = {}
-    before = []
-    for length, part, n in counted:
-        before.append((length, part, counts.get(length, 0)))
-        counts[length] = counts.get(length, 0) + n
     spark = docs.sparkSession
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    cut = written(docs.select("doc_id", "text").mapInArrow(pieces(tokenizer, capacity, end_id), schema), "pieces")
+    part = cut.where(F.col("length") < capacity)
+    # At most as many rows as the capacity.
+    counts = {r.length: r.n for r in part.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(sum(counts.values()), 1)
+    shares = spark.createDataFrame([(k, 1 + tasks * n // every) for k, n in counts.items()], "l long, salts long")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("salts")).cast("int")
+    dealt = part.join(F.broadcast(shares), F.col("length") == F.col("l")).select(*columns, salt.alias("salt"))
+    # At most capacity + tasks rows here, and in the broadcast below: a few MB at a million tasks.
+    before, upto = [], dict.fromkeys(counts, 0)
+    for r in sorted(dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).collect()):
+        before.append((r.length, r.salt, upto[r.length]))
+        upto[r.length] += r.n
     base = spark.createDataFrame(before, "l long, s int, before long")
     nth = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = cut.withColumn("nth", nth).join(
-        F.broadcast(base), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s"))
-    )
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
-    return ranked.mapInArrow(
-        placed(pack_counts(counts, capacity), salts), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    ranked = dealt.withColumn("nth", nth).join(F.broadcast(base), (F.col("length") == F.col("l")) & (F.col("salt") == F.col("s")))
+    ranked = ranked.select(*columns, (F.col("before") + F.col("nth")).alias("rank"))
+    out = ranked.mapInArrow(placed(pack_counts(counts, capacity)), schema + ", sequence_id long, offset long")
+    # Sequences above are numbered from 0, those of full pieces from -1 down.
+    alone = cut.where(F.col("length") == capacity).select(
+        *columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
+    return out.unionByName(alone)
