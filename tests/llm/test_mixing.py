@@ -43,6 +43,26 @@ def test_mix(spark):
     assert sorted(map(key, plan)) == sorted(map(key, again))
 
 
+def test_training_order_follows_the_schedules(spark):
+    """By any time, each source has been asked for its schedule's share of its target, to about one document."""
+    rng = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(["w"] * rng.randrange(1, 30)), rng.choice("abc")) for i in range(600)], "doc_id long, text string, source string")
+    plan = mixing.mix_plan(docs, per_range=1)
+    for points, name in zip(mixing.SCHEDULES, "abc"):
+        mine = [r for r in plan.collect() if r.source == name]
+        passes = sorted((p.position, p.words) for r in mine for p in r.passes)
+        for t in (0.1, 0.25, 0.5, 0.9):
+            asked = sum(w for at, w in passes if at < t)
+            (t0, w0), (t1, w1) = points
+            share = (w0 * t + (w1 - w0) * t * t / 2) / mixing.integral(points)
+            assert abs(asked - share * mine[0].target) <= 31
+    ordered = mixing.in_training_order(plan).collect()
+    places = [r.first_position for r in ordered]
+    some = [x for x in places if x is not None]
+    assert some == sorted(some) and places[: len(some)] == some
+    assert all(r.first_position <= r.last_position for r in ordered if r.passes)
+
+
 def test_position_inverts_the_integral(spark):
     schedules = [((0.0, 1.0), (0.5, 3.0), (1.0, 0.0)), ((0.0, 0.0), (1.0, 2.0))]
     for k, points in enumerate(schedules):

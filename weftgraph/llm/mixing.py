@@ -85,11 +85,12 @@ def targets(sizes: DataFrame, schedules: Sequence = SCHEDULES, limit: int = 3) -
     return tried.select("source", "source_size", "schedule", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
-def mix_plan(docs: DataFrame, schedules: Sequence = SCHEDULES, limit: int = 3, parts: int = 2) -> DataFrame:
+def mix_plan(docs: DataFrame, schedules: Sequence = SCHEDULES, limit: int = 3, per_range: int = 4096) -> DataFrame:
     """What the mix takes of each document.
 
     docs: doc_id, text, source; other columns are kept out. Every row is a document, repeated ids
-    too. parts: hex digits of the hash whose ranges the prefix sums go over. A null or empty text
+    too. per_range: about how many documents, at most, of one range of hashes; prefix sums go over
+    the ranges' totals, so ranges grow in number with the documents, not in size. A null or empty text
     has size 0 and takes nothing; a null source is a source, the last. Each source goes through
     its documents as often as its target asks, at most limit times; the last pass ends inside a
     document, so a source's words are its target to the word. Returns doc_id, row_key (a hash of
@@ -98,7 +99,11 @@ def mix_plan(docs: DataFrame, schedules: Sequence = SCHEDULES, limit: int = 3, p
     """
     sized = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), row_key().alias("row_key"))
     h = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    sized = written(sized.withColumn("h", h).withColumn("part", F.substring("h", 1, parts)), "mix-sizes")
+    sized = written(sized.withColumn("h", h), "mix-sizes")
+    digits = 2
+    while 16**digits * per_range < sized.count():
+        digits += 1
+    sized = sized.withColumn("part", F.substring("h", 1, digits))
     totals = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
     goal = targets(totals.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, limit)
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -126,6 +131,18 @@ def mix_plan(docs: DataFrame, schedules: Sequence = SCHEDULES, limit: int = 3, p
     return planned.select("doc_id", "row_key", "source", "size", "source_size", "target", "passes", taken.alias("taken"))
 
 
+def in_training_order(plan: DataFrame) -> DataFrame:
+    """A plan's documents, sorted by range of the position of their first pass; those without a pass come last.
+
+    first_position and last_position: of the first and the last pass; null without one.
+    """
+    found = plan.withColumns(
+        {"first_position": F.get("passes", F.lit(0))["position"], "last_position": F.get("passes", F.size("passes") - 1)["position"]}
+    )
+    keys = [F.col("first_position").asc_nulls_last(), F.col("row_key")]
+    return found.repartitionByRange(*keys).sortWithinPartitions(*keys)
+
+
 def first_words(text: Column, n: Column) -> Column:
     """The first n words, joined by single spaces."""
     return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lit(1), n.cast("int")), " ")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from weftgraph.llm import chat, fuzzy_lines, matroska, mixing, outliers, packing
 def tokenizer_path() -> str:
     import public_tokenizers
 
-    return os.environ.get("WEFT_TOKENIZER", public_tokenizers.path("word_bpe_49k.json"))
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,7 +42,8 @@ FROM out GROUP BY conv_id
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf_dir, "documents"))
-    return plan.select("doc_id", "size", "source_size", "target", "taken")
+    places = [F.round(c, 9).alias(c) for c in ("first_position", "last_position")]
+    return mixing.in_training_order(plan).select("doc_id", "size", "source_size", "target", "taken", *places)
 
 
 OP2_SQL = r"""
@@ -52,18 +51,26 @@ WITH d AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS h,
     len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT] AS weight FROM s),
+n AS (SELECT *, ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3)::INT AS schedule FROM s),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][schedule + 1] AS weight FROM n),
 r AS (SELECT *,
     sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER (ORDER BY source_size / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
     sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size / weight, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS weight_left FROM w),
 l AS (SELECT rest::DOUBLE AS rest0, weight_left AS w0 FROM r WHERE rest * weight <= 3 * source_size * weight_left ORDER BY weight_left DESC LIMIT 1),
-t AS (SELECT source, source_size, CASE WHEN weight_left > w0 THEN (3 * source_size)::DOUBLE ELSE rest0 * weight / w0 END AS target FROM r, l),
-p AS (SELECT d.*, t.source_size, t.target, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (greatest(0, least(size, round(target)::BIGINT - start)) + greatest(0, least(size, round(target)::BIGINT - start - source_size))
-   + greatest(0, least(size, round(target)::BIGINT - start - 2 * source_size)))::BIGINT AS taken
-FROM p
+t AS (SELECT source, source_size, schedule, CASE WHEN weight_left > w0 THEN (3 * source_size)::DOUBLE ELSE rest0 * weight / w0 END AS target FROM r, l),
+p AS (SELECT d.*, t.source_size, t.target, t.schedule, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+k AS (SELECT *, start / target AS u,
+    ceil(greatest(0, round(target)::BIGINT - start) / source_size) AS passes FROM p WHERE size > 0 AND target > 0),
+v AS (SELECT *, (start + (passes - 1) * source_size) / target AS w FROM k),
+o AS (SELECT doc_id, source, size, start, passes, schedule,
+    CASE WHEN passes = 0 THEN NULL WHEN schedule = 0 THEN 10 * u / (sqrt(36 - 20 * u) + 6) WHEN schedule = 1 THEN u ELSE sqrt(u) END AS first_position,
+    CASE WHEN passes = 0 THEN NULL WHEN schedule = 0 THEN 10 * w / (sqrt(36 - 20 * w) + 6) WHEN schedule = 1 THEN w ELSE sqrt(w) END AS last_position FROM v)
+SELECT p.doc_id, p.size, source_size, target,
+  (greatest(0, least(p.size, round(target)::BIGINT - p.start)) + greatest(0, least(p.size, round(target)::BIGINT - p.start - source_size))
+   + greatest(0, least(p.size, round(target)::BIGINT - p.start - 2 * source_size)))::BIGINT AS taken,
+  round(first_position, 9) AS first_position, round(last_position, 9) AS last_position
+FROM p LEFT JOIN o ON p.doc_id = o.doc_id AND p.source IS NOT DISTINCT FROM o.source AND p.size = o.size AND p.start = o.start
 """
 
 
