@@ -1,14 +1,19 @@
 import random
+from functools import lru_cache
 
 from weftgraph.llm import fuzzy_lines
 
 
+@lru_cache(maxsize=None)
 def runs(line):
     return {line} if len(line) < 5 else {line[i : i + 5] for i in range(len(line) - 4)}
 
 
 def alike(a, b):
-    return len(runs(a) & runs(b)) >= 0.8 * len(runs(a) | runs(b))
+    x, y = runs(a), runs(b)
+    if min(len(x), len(y)) < 0.8 * max(len(x), len(y)):
+        return False
+    return len(x & y) >= 0.8 * len(x | y)
 
 
 def brute(rows):

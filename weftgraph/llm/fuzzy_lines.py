@@ -11,15 +11,17 @@ meets with probability 0.99. Two bits of each of 32 places, packed in one number
 line, so that pairs that can't be similar end in the bucket.
 
 A line is held against the least of its bucket and the NEIGHBOURS before it: all pairs of a bucket
-of up to eight lines. First one pair of each line is checked, with the least line it meets; then, of
-the other pairs, those still in different groups. The lines of larger buckets that are not one
-connected group after that have all their pairs between groups looked at: two sets of the similarity
-share one of the first shingles of each, rarest first (the prefix filter), so lines meet by those
-shingles, and no pair is left out but by its sketch. The check of all pairs is the exact Jaccard
-similarity of the shingle sets. Connected components of what passes keep the first of their lines.
-
-Signatures and the exact check are Arrow functions, as DataFrame functions did not meet the limits
-(the README has their figures); buckets, joins, groups and texts are DataFrame functions.
+of up to eight lines. One pair of each line is checked first, with the least line it meets; then one
+pair of each two groups so far; then all other pairs that are still in different groups. The lines of
+larger buckets that are not one connected group after that, crowded ones, get narrower bands of new
+signatures, which a pair at 0.8 meets in with probability 0.99 again, and the same steps. What is
+still crowded has all its pairs between groups looked at: two sets of the similarity share one of the
+first shingles of each, rarest first (the prefix filter), so lines meet by those shingles, and no
+pair is left out but by its sketch. The check of all pairs is the exact Jaccard similarity of the
+shingle sets. Connected components of what passes keep the first of their lines.
+
+Signatures, buckets and the exact check are Arrow functions, as DataFrame functions did not meet the
+limits (the README has their figures); lines, joins and groups are DataFrame functions.
 """
 
 from __future__ import annotations
@@ -28,15 +30,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import textcore
 from weftgraph.llm.components import components
-from weftgraph.llm.storage import Written, scratch
+from weftgraph.llm.storage import Written, scratch, written
 
-SIMILARITY, BANDS, IN_BAND, NEIGHBOURS, WIDTH = 0.8, 16, 6, 7, 5
-PLACES = BANDS * IN_BAND
+SIMILARITY, NEIGHBOURS, WIDTH = 0.8, 7, 5
+PLACES = 96
+#: Places in a band, and signatures of other hashes that give bands: for all lines, and for those of crowded buckets.
+IN_BAND, IN_BAND_CROWD, ROUNDS_CROWD = 6, 12, 8
+BANDS = PLACES // IN_BAND
 #: Of SKETCHED pairs of sketch bits, how many agree at least: 2.5 standard deviations below what the similarity gives.
 SKETCHED, AGREE_LEAST = 32, 22
 #: Lines, bytes of lines, and shingles that one numpy step works on.
@@ -46,7 +51,7 @@ HOT_SAMPLE, HOT_LEAST = 64, 4096
 SLOT_BITS = 18
 #: Stands after the end of a line under 5 characters; no character has this number.
 NONE = 0x110000
-FACTORS = textcore.mixed(np.arange(1, WIDTH + 1, dtype=np.uint64)) | np.uint64(1)
+FACTORS = textcore.mixed(np.arange(1, 3, dtype=np.uint64)) | np.uint64(1)
 EMPTY = np.uint32(2**32 - 1)
 PLACE = ("doc_id", "row", "line_no")
 
@@ -69,6 +74,18 @@ def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), at
 
 
+def sums_of(chars: np.ndarray) -> np.ndarray:
+    """A number of 64 bits for each run of WIDTH characters: three of them, and two, side by side, each times an odd factor."""
+    wide = chars.astype(np.uint64)
+    two = wide[1:] << np.uint64(21)
+    two |= wide[:-1]
+    three = wide[2:] << np.uint64(42)
+    three |= two[:-1]
+    out = three[:-2] * FACTORS[0]
+    out += two[3:] * FACTORS[1]
+    return out
+
+
 def run_hashes(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of every run of WIDTH characters of each text, in order, and where each text's begin (one more at the end)."""
     length = np.diff(at)
@@ -77,14 +94,9 @@ def run_hashes(chars: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not bounds[-1]:
         return np.zeros(0, np.uint64), bounds
     # Runs that go over a text's end are left out, but for those of short texts, which end in NONE.
-    padded = np.append(chars, np.full(WIDTH - 1, NONE, np.uint32))
-    sums = padded[: len(chars)] * FACTORS[0]
-    for k in range(1, WIDTH):
-        sums += padded[k : k + len(chars)] * FACTORS[k]
+    sums = sums_of(np.append(chars, np.full(WIDTH - 1, NONE, np.uint32)))
     for j in np.flatnonzero((length > 0) & (length < WIDTH)):
-        own = np.append(chars[at[j] : at[j + 1]], np.full(WIDTH, NONE, np.uint32))[:WIDTH].astype(np.uint64)
-        sums[at[j]] = (own * FACTORS).sum(dtype=np.uint64)
-    inside = np.ones(len(chars) + 1, np.int32)
+        sums[at[j]] = sums_of(np.append(chars[at[j] : at[j + 1]], np.full(WIDTH, NONE, np.uint32))[:WIDTH])[0]
     keep = np.zeros(len(chars) + 1, np.int32)
     some = count > 0
     np.add.at(keep, at[:-1][some], 1)
@@ -110,37 +122,58 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.take_along_axis(least, ahead, axis=1)
 
 
-def marks(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sketch and band keys of signatures."""
-    v = values.astype(np.uint64)
-    keys = np.empty((len(v), BANDS), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(v), b + 1, np.uint64)
-        for k in range(b, PLACES, BANDS):
+def band_keys(values: np.ndarray, in_band: int, seed: int) -> np.ndarray:
+    """Bucket keys of signatures, one for each in_band places; no place is in two bands."""
+    v, bands = values.astype(np.uint64), PLACES // in_band
+    keys = np.empty((len(v), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(v), (seed * PLACES + b + 1) * (in_band + 1), np.uint64)
+        for k in range(b, PLACES, bands):
             key = textcore.mixed(key * FACTORS[0] + v[:, k])
         keys[:, b] = key
-    sketch = np.zeros(len(v), np.uint64)
+    return keys.view(np.int64)
+
+
+def sketches(values: np.ndarray) -> np.ndarray:
+    """Two bits of each of SKETCHED places."""
+    out = np.zeros(len(values), np.uint64)
     for k in range(SKETCHED):
-        sketch |= ((v[:, k * PLACES // SKETCHED] >> np.uint64(9)) & np.uint64(3)) << np.uint64(2 * k)
-    return sketch.view(np.int64), keys.view(np.int64)
+        out |= ((values[:, k * PLACES // SKETCHED].astype(np.uint64) >> np.uint64(9)) & np.uint64(3)) << np.uint64(2 * k)
+    return out.view(np.int64)
 
 
-HELD = ("k1", "k2", "doc_id", "row", "line_no")
+def rows_of(keys: np.ndarray) -> pa.Array:
+    flat = keys.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, keys.shape[1]), pa.int32()), pa.array(flat))
+
+
+HELD = ("k1", "k2", "doc_id", "row", "line_no", "line")
 
 
 def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: HELD and line to HELD, sketch and keys."""
+    """A mapInArrow function: HELD to HELD, sketch and keys."""
+    for batch in batches:
+        for low in range(0, len(batch), STEP_LINES):
+            part = batch.slice(low, STEP_LINES)
+            sketch, keys = [], []
+            for _, _, data, offsets in textcore.steps(part.column("line"), STEP_BYTES):
+                values = signatures(*run_hashes(*characters(data, offsets)))
+                sketch.append(sketches(values))
+                keys.append(band_keys(values, IN_BAND, 0))
+            yield pa.RecordBatch.from_arrays([*map(part.column, HELD), pa.array(np.concatenate(sketch)), rows_of(np.concatenate(keys))], names=[*HELD, "sketch", "keys"])
+
+
+def crowd_signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function: id, sketch, line to id, sketch and keys of narrow bands."""
     for batch in batches:
         for low in range(0, len(batch), STEP_LINES):
             part = batch.slice(low, STEP_LINES)
-            sketches, keys = [np.zeros(0, np.int64)], [np.zeros((0, BANDS), np.int64)]
+            keys = []
             for _, _, data, offsets in textcore.steps(part.column("line"), STEP_BYTES):
-                sketch, key = marks(signatures(*run_hashes(*characters(data, offsets))))
-                sketches.append(sketch)
-                keys.append(key)
-            flat = np.concatenate(keys).ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS), pa.int32()), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*map(part.column, HELD), pa.array(np.concatenate(sketches)), lists], names=[*HELD, "sketch", "keys"])
+                hashes, bounds = run_hashes(*characters(data, offsets))
+                each = [signatures(textcore.mixed(hashes + np.uint64(seed)), bounds) for seed in range(1, ROUNDS_CROWD + 1)]
+                keys.append(np.concatenate([band_keys(v, IN_BAND_CROWD, k + 1) for k, v in enumerate(each)], axis=1))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("sketch"), rows_of(np.concatenate(keys))], names=["id", "sketch", "keys"])
 
 
 def distinct_hashes(column: pa.Array) -> Iterator[np.ndarray]:
@@ -167,8 +200,8 @@ def checker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A mapInArrow function: id, root, sketch, line to id, root, sketch and the line's distinct shingle hashes."""
-    names = ["id", "root", "sketch"]
+    """A mapInArrow function: id, root, crowd, sketch, line to all but line and the line's distinct shingle hashes."""
+    names = ["id", "root", "crowd", "sketch"]
     for batch in batches:
         for low in range(0, len(batch), STEP_LINES):
             part = batch.slice(low, STEP_LINES)
@@ -179,17 +212,21 @@ def hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(part.column, names), h], names=[*names, "h"])
 
 
+def blank(line: Column) -> Column:
+    return F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) == ""
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """Lines that hold more than white space, trimmed, with a key of 128 bits: doc_id, row, line_no, line, k1, k2."""
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = keyed.withColumn("line", trimmed(F.col("line"))).where("line <> ''")
-    return lines.withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line"))
+    every = F.transform(F.split("text", "\n"), trimmed)  # before they are rows, so that each is trimmed once
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(every).alias("line_no", "line"))
+    return keyed.where("line <> ''").withColumn("k1", F.xxhash64("line")).withColumn("k2", F.xxhash64(F.lit("2"), "line"))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """The distinct lines: k1, k2, their first place, sketch and keys. Copies of a line meet in partial aggregates before they are shuffled."""
+    """The distinct lines: k1, k2, their first place, line, sketch and keys. Copies of a line meet in partial aggregates before they are shuffled."""
     lines = lines_of(docs).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("line").alias("line"))
-    schema = "k1 long, k2 long, doc_id long, row long, line_no int, sketch long, keys array<long>"
+    schema = "k1 long, k2 long, doc_id long, row long, line_no int, line string, sketch long, keys array<long>"
     return lines.select("k1", "k2", "at.*", "line").mapInArrow(signer, schema)
 
 
@@ -202,7 +239,7 @@ def dealt(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = sets.select("id", "sketch", F.explode("keys").alias("key"))
-    limit = max(HOT_LEAST, sets.count() * BANDS // (4 * parts))
+    limit = max(HOT_LEAST, (sets.agg(F.sum(F.size("keys"))).first()[0] or 0) // (4 * parts))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).groupBy("key").count()
     crowd = sample.where(F.col("count") * HOT_SAMPLE >= limit).select("key", F.ceil(F.col("count") * HOT_SAMPLE * 2 / limit).alias("salts"))
     hot = [(r.key, int(r.salts)) for r in crowd.limit(64 * parts).collect()]
@@ -221,28 +258,78 @@ def can(x: Column, y: Column) -> Column:
     return F.bit_count(odd) <= SKETCHED - AGREE_LEAST
 
 
-def looked_at(rows: DataFrame) -> DataFrame:
-    """id, first, others: lines that each line of rows (key, id, sketch, hot) meets and can be similar to.
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same, for arrays."""
+    differ = (x ^ y).view(np.uint64)
+    return np.bitwise_count((differ | differ >> np.uint64(1)) & np.uint64(0x5555555555555555)) <= SKETCHED - AGREE_LEAST
 
-    key: the bucket's, where not all its pairs are looked at. head: the sketch of the first of a
-    part of a hot bucket. Only rows with something to tell. Buckets of one line, which most are,
-    leave before anything is sorted; both sides of that join read one exchange.
+
+MET = "id long, other long, first boolean, key long, head long"
+
+
+def meeter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function over rows (key, id, sketch, hot) in order of key and id: MET, bucket by bucket.
+
+    A row with other: a pair that can be similar; first: with the least line of the bucket. A row
+    without: a line of a bucket (key) not all of whose pairs are looked at; head: the sketch of the
+    first line of a part of a hot bucket. Buckets of one line, which most are, give nothing.
     """
-    met = rows.repartition("key")
-    buckets = met.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("low"), F.min_by("sketch", "id").alias("low_sketch"), F.max("hot").alias("whole"))
-    met = met.drop("hot").join(buckets.where("n > 1 or whole is not null").hint("shuffle_hash"), "key")
-    order = Window.partitionBy("key").orderBy("id")
-    met = met.select("*", *[F.lag(F.struct("id", "sketch"), k).over(order).alias(f"x{k}") for k in range(1, NEIGHBOURS + 1)])
-    sketch = F.col("sketch")
-    others = F.filter(F.array(*[f"x{k}" for k in range(1, NEIGHBOURS + 1)]), lambda x: x.isNotNull() & can(x["sketch"], sketch) & (x["id"] != F.col("low")))
-    out = met.select(
-        "id",
-        F.when((F.col("low") != F.col("id")) & can(F.col("low_sketch"), sketch), F.col("low")).alias("first"),
-        F.transform(others, lambda x: x["id"]).alias("others"),
-        F.coalesce("whole", F.when(F.col("n") > NEIGHBOURS + 1, F.col("key"))).alias("key"),
-        F.when(F.col("whole").isNotNull() & (F.col("low") == F.col("id")), sketch).alias("head"),
-    )
-    return out.where("first is not null or size(others) > 0 or key is not null")
+
+    def whole(key: np.ndarray, id_: np.ndarray, sketch: np.ndarray, hot: np.ndarray, is_hot: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, key[1:] != key[:-1])
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(key)))
+        of = np.cumsum(new) - 1
+        keep = (size[of] > 1) | is_hot
+        nth, n = (np.arange(len(key)) - begin[of])[keep], size[of][keep]
+        key, id_, sketch, hot, is_hot = (x[keep] for x in (key, id_, sketch, hot, is_hot))
+        at = np.arange(len(key))
+        a, b, first = [], [], []
+        for k in range(NEIGHBOURS + 1):
+            # k = 0: the bucket's first line; else the k-th before, but for that first one.
+            here = np.flatnonzero(nth > k)
+            there = here - k if k else here - nth[here]
+            hit = alike(sketch[here], sketch[there])
+            a.append(id_[here[hit]])
+            b.append(id_[there[hit]])
+            first.append(np.full(int(hit.sum()), k == 0))
+        open_ = at[(n > NEIGHBOURS + 1) | is_hot]
+        pairs, lone = sum(map(len, a)), len(open_)
+        none = pa.nulls(lone, pa.int64())
+        heads = is_hot[open_] & (nth[open_] == 0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([*a, id_[open_]])),
+                pa.concat_arrays([pa.array(np.concatenate(b)), none]),
+                pa.array(np.concatenate([*first, np.zeros(lone, bool)])),
+                pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(np.where(is_hot, hot, key)[open_])]),
+                pa.concat_arrays([pa.nulls(pairs, pa.int64()), pa.array(sketch[open_], mask=~heads)]),
+            ],
+            names=[x.split()[0] for x in MET.split(", ")],
+        )
+
+    held: list[list[np.ndarray]] = []  # of the bucket that isn't known to be whole yet
+    for batch in batches:
+        if not len(batch):
+            continue
+        hot = batch.column("hot")
+        new = [batch.column(k).to_numpy() for k in ("key", "id", "sketch")] + [hot.fill_null(0).to_numpy(), hot.is_valid().to_numpy(zero_copy_only=False)]
+        ends = np.flatnonzero(np.diff(new[0]))
+        cut = int(ends[-1]) + 1 if len(ends) else 0
+        if cut or held and held[-1][0][-1] != new[0][0]:
+            yield whole(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in new])))
+            held = []
+        held.append([x[cut:] for x in new])
+    if held:
+        yield whole(*(np.concatenate(x) for x in zip(*held)))
+
+
+def looked_at(sets: DataFrame) -> DataFrame:
+    """MET of the lines of sets (id, sketch, keys), hot buckets' heads also held against each other."""
+    meet = lambda rows: Written(rows.repartition("key").sortWithinPartitions("key", "id").select("key", "id", "sketch", "hot").mapInArrow(meeter, MET), "line-meetings")
+    met = meet(dealt(sets)).read()
+    heads = met.where("head is not null").select("key", "id", F.col("head").alias("sketch"), F.lit(None).cast("long").alias("hot"))
+    return met if heads.isEmpty() else met.unionByName(meet(heads).read())
 
 
 def similar(pairs: DataFrame, line: DataFrame) -> DataFrame:
@@ -251,13 +338,6 @@ def similar(pairs: DataFrame, line: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b").mapInArrow(checker, "a long, b long")
 
 
-def texts_of(docs: DataFrame, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """id, sketch, line of the wanted ids, cut from docs again."""
-    ids = sets.select("id", "sketch", "k1", "k2").join(wanted, "id", "left_semi")
-    line = lines_of(docs).groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    return line.join(ids, ["k1", "k2"]).select("id", "sketch", "line")
-
-
 def grouped(found: DataFrame, edges: DataFrame) -> DataFrame:
     """found (node, root) with the groups that edges (a, b) connect made one."""
     a, b = (found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
@@ -270,29 +350,55 @@ def grouped(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def with_roots(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are in different groups."""
+    """The pairs (a, b) that are in different groups, with root_a and root_b."""
     for k in "ab":
-        pairs = pairs.join(found.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")), k, "left")
-    return pairs.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+        pairs = pairs.join(found.select(F.col("node").alias(k), F.col("root").alias("_r")), k, "left").withColumn(f"root_{k}", F.coalesce("_r", k)).drop("_r")
+    return pairs.where("root_a <> root_b")
+
+
+def joined(met: DataFrame, found: DataFrame | None, line: DataFrame) -> DataFrame:
+    """found (node, root) with what the similar ones of met's pairs connect."""
+    pair = (F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"))
+    pairs = met.where("other is not null")
+    every = Written(pairs.select(*pair).distinct(), "line-pairs").read()
+    if found is None:
+        least = pairs.where("first").groupBy("id").agg(F.min("other").alias("other")).select(*pair)
+        found = written(components(written(similar(least, line), "line-edges")), "line-groups")
+    # One pair of each two groups, then every pair that is still between groups.
+    rooted = with_roots(every, found)
+    some = rooted.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+    edges = written(similar(some, line), "line-edges")
+    if not edges.isEmpty():
+        found = written(grouped(found, edges), "line-groups")
+    rest = with_roots(every.join(some, ["a", "b"], "left_anti"), found).select("a", "b")
+    edges = written(similar(rest, line), "line-edges")
+    return found if edges.isEmpty() else written(grouped(found, edges), "line-groups")
 
 
 def in_crowds(met: DataFrame, found: DataFrame) -> DataFrame:
-    """id, root of the lines in buckets not all of whose pairs were looked at and that aren't all of one group."""
+    """key, id, root of the lines in buckets not all of whose pairs were looked at and that aren't all of one group."""
     large = met.where("key is not null").select("id", "key")
     rooted = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
     crowds = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return rooted.join(crowds, "key", "left_semi").select("id", "root").distinct()
+    return written(rooted.join(crowds, "key", "left_semi"), "crowded-lines")
+
+
+def crowds_of(crowded: DataFrame) -> DataFrame:
+    """id, root, crowd: lines that crowded buckets (key, id, root) connect have one crowd, outside which they need meet none."""
+    least = crowded.groupBy("key").agg(F.min("id").alias("b"))
+    crowd = components(crowded.join(least, "key").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("root").alias("crowd"))
+    return written(crowded.select("id", "root").distinct().join(crowd, "id"), "crowds")
 
 
 def rare_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs of lines (id, root, sketch, line) of different roots that can be similar: a, b, a < b.
+    """Pairs of lines (id, root, crowd, sketch, line) of one crowd and different roots that can be similar: a, b, a < b.
 
     Of n shingles a similar line has at least SIMILARITY * n, so it holds one of any n - that + 1 of
     them, and the least that both hold, in one order for all lines, is among the first so many of
     each. Rarest first, few lines meet by one; and where that least one stands, enough must follow it
     in both for the similarity. Roots are paired before their lines, so lines of one root never meet.
     """
-    made = lines.select("id", "root", "sketch", "line").mapInArrow(hash_lists, "id long, root long, sketch long, h array<long>")
+    made = lines.select("id", "root", "crowd", "sketch", "line").mapInArrow(hash_lists, "id long, root long, crowd long, sketch long, h array<long>")
     # How often is counted by slots of hashes and kept as a power of two, one byte a slot: any order of
     # shingles leaves out no pair, so slots that are shared only cost time.
     slot = lambda h: F.shiftrightunsigned(h, 64 - SLOT_BITS).cast("int")
@@ -306,12 +412,12 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
         bits = F.ascii(F.substring(table, slot(h) + 1, F.lit(1)).cast("string")).cast("long")
         return F.call_function("shiftleft", bits, F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    made = made.select("id", "root", "sketch", F.size("h").alias("n"), F.sort_array(F.transform("h", ordered)).alias("h"))
+    made = made.select("id", "root", "crowd", "sketch", F.size("h").alias("n"), F.sort_array(F.transform("h", ordered)).alias("h"))
     most = (F.floor(F.col("n") * (1 - SIMILARITY) + 1e-9) + 1).cast("int")
-    rare = made.select("id", "root", "sketch", "n", F.posexplode(F.slice("h", F.lit(1), most)).alias("nth", "h"))
-    rare = rare.withColumn("nth", F.col("nth") + 1)
+    rare = made.select("id", "root", "crowd", "sketch", "n", F.posexplode(F.slice("h", F.lit(1), most)).alias("nth", "h"))
+    rare = rare.withColumn("nth", F.col("nth") + 1).withColumn("h", F.xxhash64("crowd", "h")).drop("crowd")
     shared = rare.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    rare = Written(rare.join(shared, "h", "left_semi"), "rare-shingles").read()
+    rare = written(rare.join(shared, "h", "left_semi"), "rare-shingles")
     roots = rare.select("h", "root").distinct()
     met = roots.join(roots.withColumnRenamed("root", "root_b"), "h").where("root < root_b").withColumnRenamed("root", "root_a")
     for k in "ab":
@@ -323,29 +429,22 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
 
 def stays_of(docs: DataFrame) -> DataFrame:
     """d, r, stays: for each document and row, bits of the lines that stay, by line number and 63 to a part."""
-    sets = Written(signed(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
-    met = Written(looked_at(dealt(sets.read())), "line-meetings")
-    heads = met.read().where("head is not null").select("key", "id", F.col("head").alias("sketch"), F.lit(None).cast("long").alias("hot"))
-    if not heads.isEmpty():
-        met = Written(met.read().unionByName(looked_at(heads)), "line-meetings")
-    m = met.read()
-    pair = lambda x: (F.least("id", x).alias("a"), F.greatest("id", x).alias("b"))
-    first = m.where("first is not null").groupBy("id").agg(F.min("first").alias("first")).select(*pair("first"))
-    other = m.select("id", F.explode(F.array_append("others", F.col("first"))).alias("other")).where("other is not null").select(*pair("other")).distinct()
-    wanted = m.select("id").unionByName(m.select(F.col("first").alias("id"))).unionByName(m.select(F.explode("others").alias("id")))
-    line = Written(texts_of(docs, sets.read(), wanted.distinct()), "line-texts").read()
-    edges = Written(similar(first, line), "line-edges").read()
-    found = components(edges)
-    edges = Written(similar(with_roots(other, found), line), "line-edges").read()
-    if not edges.isEmpty():
-        found = Written(grouped(found, edges), "line-groups").read()
-    # What the groups leave open in buckets of more than NEIGHBOURS + 1 lines is looked at whole.
-    crowded = Written(in_crowds(m, found), "crowded-lines").read()
+    sets = written(signed(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
+    line = sets.select("id", "sketch", "line")
+    met = looked_at(sets.select("id", "sketch", "keys"))
+    found = joined(met, None, line)
+    # What the groups leave open in buckets of more than NEIGHBOURS + 1 lines meets in narrower bands.
+    crowded = in_crowds(met, found)
     if not crowded.isEmpty():
-        more = Written(rare_pairs(line.join(crowded, "id")), "crowded-pairs").read()
-        edges = Written(similar(more, line), "line-edges").read()
-        found = Written(grouped(found, edges), "line-groups").read()
-    kept = sets.read().select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
+        again = line.join(crowded.select("id").distinct(), "id").mapInArrow(crowd_signer, "id long, sketch long, keys array<long>")
+        met = looked_at(written(again, "crowded-keys"))
+        found = joined(met, found, line)
+        crowded = in_crowds(met, found)
+        if not crowded.isEmpty():
+            more = written(rare_pairs(line.join(crowds_of(crowded), "id")), "crowded-pairs")
+            edges = written(similar(more, line), "line-edges")
+            found = written(grouped(found, edges), "line-groups")
+    kept = sets.select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
     # A group's first line stays; its place comes from the aggregate, so nothing is joined by group.
     best = kept.where("root is not null").groupBy("root").agg(F.min(F.struct(*PLACE)).alias("best")).select("best.*")
     kept = kept.where("root is null").select("doc_id", "row", "line_no").unionByName(best)
@@ -376,10 +475,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     def keeps(x: Column, i: Column) -> Column:
         bits = F.coalesce(F.try_element_at("stays", F.floor(i / 63).cast("int")), F.lit(0).cast("long"))
-        return (trimmed(x) == "") | (F.call_function("getbit", bits, i % 63) == 1)
+        return blank(x) | (F.call_function("getbit", bits, i % 63) == 1)
 
     out = out.withColumn("_kept", F.filter("_all", keeps))
-    real = F.coalesce(F.size(F.filter("_all", lambda x: trimmed(x) != "")), F.lit(0)).cast("long")
+    real = F.coalesce(F.size(F.filter("_all", lambda x: ~blank(x))), F.lit(0)).cast("long")
     removed = F.when(F.col("text").isNull(), 0).otherwise(F.size("_all") - F.size("_kept")).cast("long")
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(real).cast("long")
     out = out.withColumns({"n_lines": n_lines, "n_removed": removed}).withColumn("text", F.array_join("_kept", "\n"))

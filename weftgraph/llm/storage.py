@@ -36,7 +36,7 @@ class Written:
         before = self.spark.conf.get(CLEAN_UP, None)
         self.spark.conf.set(CLEAN_UP, "true")
         try:
-            df.write.parquet(self.path)
+            df.write.option("compression", "zstd").parquet(self.path)
         finally:
             if before is None:
                 self.spark.conf.unset(CLEAN_UP)
