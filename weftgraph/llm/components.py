@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from weftgraph.llm.storage import Written
 
 
-def _digest(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has an edge to one root at most, and no root an edge of its own."""
+    ends = edges.select(F.col("a").alias("v"), F.lit(1).alias("leaves"), F.lit(0).alias("comes"))
+    ends = ends.unionByName(edges.select(F.col("b").alias("v"), F.lit(0).alias("leaves"), F.lit(1).alias("comes")))
+    seen = ends.groupBy("v").agg(F.sum("leaves").alias("leaves"), F.max("comes").alias("comes"))
+    return seen.where("leaves > 1 or leaves = 1 and comes = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -26,8 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = Written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges"
     )
-    before = _digest(now.read())
-    while before[0]:
+    while not _stars(now.read()):
         e = now.read()
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
@@ -37,13 +39,10 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("m"))
         small = e.join(least, F.col("a") == F.col("n")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.where("a <> b").unionByName(least.select(F.col("n").alias("a"), F.col("m").alias("b"))).distinct()
-        after_table = Written(small, "edges")
+        after = Written(small, "edges")
         large.drop()
         now.drop()
-        now, after = after_table, _digest(after_table.read())
-        if after == before:
-            break
-        before = after
+        now = after
     stars = now.read()
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

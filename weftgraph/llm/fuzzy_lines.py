@@ -11,9 +11,8 @@ meets with probability 0.99. Two bits of each of 32 places, packed in one number
 line, so that pairs that can't be similar end in the bucket.
 
 A line is held against the least of its bucket and the NEIGHBOURS before it: all pairs of a bucket
-of up to eight lines. One pair of each line is checked first, with the least line it meets; then one
-pair of each two groups so far; then all other pairs that are still in different groups. The lines of
-larger buckets that are not one connected group after that, crowded ones, get narrower bands of new
+of up to eight lines. One pair of each line is checked first, with the least line it meets; then all
+other pairs that are still in different groups. The lines of larger buckets that are not one connected group after that, crowded ones, get narrower bands of new
 signatures, which a pair at 0.8 meets in with probability 0.99 again, and the same steps. What is
 still crowded has all its pairs between groups looked at: two sets of the similarity share one of the
 first shingles of each, rarest first (the prefix filter), so lines meet by those shingles, and no
@@ -364,14 +363,8 @@ def joined(met: DataFrame, found: DataFrame | None, line: DataFrame) -> DataFram
     if found is None:
         least = pairs.where("first").groupBy("id").agg(F.min("other").alias("other")).select(*pair)
         found = written(components(written(similar(least, line), "line-edges")), "line-groups")
-    # One pair of each two groups, then every pair that is still between groups.
-    rooted = with_roots(every, found)
-    some = rooted.groupBy(F.least("root_a", "root_b"), F.greatest("root_a", "root_b")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-    edges = written(similar(some, line), "line-edges")
-    if not edges.isEmpty():
-        found = written(grouped(found, edges), "line-groups")
-    rest = with_roots(every.join(some, ["a", "b"], "left_anti"), found).select("a", "b")
-    edges = written(similar(rest, line), "line-edges")
+    # Every other pair that is still between groups.
+    edges = written(similar(with_roots(every, found).select("a", "b"), line), "line-edges")
     return found if edges.isEmpty() else written(grouped(found, edges), "line-groups")
 
 
@@ -383,15 +376,8 @@ def in_crowds(met: DataFrame, found: DataFrame) -> DataFrame:
     return written(rooted.join(crowds, "key", "left_semi"), "crowded-lines")
 
 
-def crowds_of(crowded: DataFrame) -> DataFrame:
-    """id, root, crowd: lines that crowded buckets (key, id, root) connect have one crowd, outside which they need meet none."""
-    least = crowded.groupBy("key").agg(F.min("id").alias("b"))
-    crowd = components(crowded.join(least, "key").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("root").alias("crowd"))
-    return written(crowded.select("id", "root").distinct().join(crowd, "id"), "crowds")
-
-
 def rare_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs of lines (id, root, crowd, sketch, line) of one crowd and different roots that can be similar: a, b, a < b.
+    """Pairs of lines (id, root, crowd, sketch, line) of one crowded bucket and different roots that can be similar: a, b, a < b.
 
     Of n shingles a similar line has at least SIMILARITY * n, so it holds one of any n - that + 1 of
     them, and the least that both hold, in one order for all lines, is among the first so many of
@@ -441,7 +427,7 @@ def stays_of(docs: DataFrame) -> DataFrame:
         found = joined(met, found, line)
         crowded = in_crowds(met, found)
         if not crowded.isEmpty():
-            more = written(rare_pairs(line.join(crowds_of(crowded), "id")), "crowded-pairs")
+            more = written(rare_pairs(line.join(crowded.withColumnRenamed("key", "crowd"), "id")), "crowded-pairs")
             edges = written(similar(more, line), "line-edges")
             found = written(grouped(found, edges), "line-groups")
     kept = sets.select("id", "doc_id", "row", "line_no").join(found, F.col("id") == F.col("node"), "left")
