@@ -3,7 +3,7 @@
 A document that passes the base rules becomes a vector of transformed statistics. The minimum
 covariance determinant of each language and source is found over all its documents by C-steps: from
 a robust start, each step takes the share `support` of documents with the least Mahalanobis
-distances and makes mean and covariance of them. One step is one aggregation: moments by group and
+distances and makes mean and covariance of them, until the determinants no longer fall. One step is one aggregation: moments by group and
 distance bin, so the least distances are a prefix of a group's bins and no group is ever collected.
 A group with too few documents for an estimate uses its language's, or that of all documents.
 """
@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import textstats
-from weftgraph.llm.storage import written
+from weftgraph.llm.storage import Written, written
 
 #: The vector, each with the least standard deviation it is taken to have: what an honest short text varies by.
 VECTOR = {"word_length": 0.12, "symbols": 0.35, "dup_lines": 0.12, "repeats": 0.12, "upper": 0.05, "marks": 0.3}
 P = len(VECTOR)
-SUPPORT, QUANTILE, STEPS, LEAST_GROUP = 0.75, 0.9999, 4, 100
+SUPPORT, QUANTILE, STEPS, LEAST_GROUP = 0.75, 0.9999, 8, 100
+#: C-steps end once no group's log-determinant moves by more.
+SETTLED = 0.01
 BINS = 16  # of distance to a doubling
 
 
@@ -92,37 +94,47 @@ def _finish(support: float):
             cov[i, j] = cov[j, i] = took[f"p{i}_{j}"].sum() / m - mean[i] * mean[j]
         share = m / n.sum()
         cov = cov * (consistency(share) if share < 1 - 1e-9 else 1.0) + floor
-        white = np.linalg.inv(np.linalg.cholesky(cov))
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [int(n.sum())], "params": [np.concatenate([mean, white.ravel()])]})
+        root = np.linalg.cholesky(cov)
+        det, white = 2 * np.log(np.diag(root)).sum(), np.linalg.inv(root)
+        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "n": [int(n.sum())], "det": [det], "params": [np.concatenate([mean, white.ravel()])]})
 
     return of
 
 
 def estimates(vectors: DataFrame, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
-    """Centre and whitening matrix for each key: key, n, params.
+    """Centre and whitening matrix for each key: key, n, det (the covariance's log-determinant), params.
 
     vectors: VECTOR's columns, lang, source. Keys are all documents, each language, and each
-    language and source; a null language or source is one of its own.
+    language and source; a null language or source is one of its own. At most `steps` C-steps.
     """
     keyed = vectors.withColumn("key", F.explode(F.array(*[_key(k) for k in (0, 1, 2)])))
     names = list(VECTOR)
     moments = [F.count("*").alias("n")] + [F.sum(k).alias(f"s{i}") for i, k in enumerate(names)]
     moments += [F.sum(F.col(names[i]) * F.col(names[j])).alias(f"p{i}_{j}") for i in range(P) for j in range(i + 1)]
-    schema = "key string, n long, params array<double>"
-    params = None
+    schema = "key string, n long, det double, params array<double>"
+    table = None
     for _ in range(steps + 1):
-        if params is None:
+        if table is None:
             # The start: distance from a fixed centre of an honest text's rates, in units of the floors.
             centre = vectors.groupBy().agg(*[F.percentile_approx(k, 0.5, 1000).alias(f"m_{k}") for k in names])
             far = sum((((F.col(k) - F.col(f"m_{k}")) / s) ** 2 for k, s in VECTOR.items()), F.lit(0.0))
             seen = keyed.join(F.broadcast(centre))  # one row
         else:
-            known = params.select(F.col("key").alias("k"), "params")
+            known = table.read().select(F.col("key").alias("k"), "params")
             seen, far = keyed.join(known, F.col("key") == F.col("k")), _distance()
         binned = seen.withColumn("bin", F.floor(F.log2(far + 1e-6) * BINS).cast("int"))
         summed = binned.groupBy("key", "bin").agg(*moments)
-        params = written(summed.groupBy("key").applyInPandas(_finish(support), schema), "mcd")
-    return params
+        fresh = Written(summed.groupBy("key").applyInPandas(_finish(support), schema), "mcd")
+        moved = None
+        if table is not None:
+            before = table.read().select(F.col("key").alias("k"), F.col("det").alias("was"))
+            moved = fresh.read().join(before, F.col("key") == F.col("k")).agg(F.max(F.abs(F.col("det") - F.col("was")))).first()[0]
+            table.drop()
+        table = fresh
+        if moved is not None and moved <= SETTLED:
+            break
+    assert table is not None
+    return table.read()
 
 
 def quality_rules(
