@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import textcore
+from weftgraph.llm.storage import scratch, written
 
 ORDERS, BUCKET_BITS = (4, 5, 6), 20
 #: Documented bounds of the labelled sample that the model is fitted on, by class.
@@ -68,30 +69,37 @@ def present(column: pa.Array, orders: tuple[int, ...], of_interest: np.ndarray |
         yield first, after, key >> BUCKET_BITS, key & ((1 << BUCKET_BITS) - 1)
 
 
+def ratios(in_1: np.ndarray, in_0: np.ndarray, n1: int, n0: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's naive Bayes log-count ratio, and whether it tells the classes apart."""
+    ratio = np.log((in_1 + 1) / (n1 + 2)) - np.log((in_0 + 1) / (n0 + 2))
+    return ratio, (in_1 + in_0 >= LEAST_TEXTS) & (np.abs(ratio) > LEAST_RATIO)
+
+
 def fit(texts: list[str | None], labels: np.ndarray, shares: tuple[float, float], orders: tuple[int, ...] = ORDERS) -> Model:
     """shares: the classes' shares of all labelled texts, which a sample by class doesn't show."""
-    size = 1 << BUCKET_BITS
-    column = pa.array(texts, pa.string())
-    positive = labels.astype(bool)
-    n1, n0 = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
-    if not positive.any() or positive.all():
-        return Model(np.zeros(size), np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6)), orders)
-    # One pass counts, the next takes only the buckets that tell the classes apart.
+    size, column, positive = 1 << BUCKET_BITS, pa.array(texts, pa.string()), labels.astype(bool)
     in_1, in_0 = np.zeros(size), np.zeros(size)
     for first, _, text, bucket in present(column, orders):
         of_1 = positive[first + text]
         in_1 += np.bincount(bucket[of_1], minlength=size)
         in_0 += np.bincount(bucket[~of_1], minlength=size)
-    ratio = np.log((in_1 + 1) / (n1 + 2)) - np.log((in_0 + 1) / (n0 + 2))
-    used = (in_1 + in_0 >= LEAST_TEXTS) & (np.abs(ratio) > LEAST_RATIO)
+    ratio, used = ratios(in_1, in_0, max(int(positive.sum()), 1), max(int((~positive).sum()), 1))
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    for first, after, text, bucket in present(column, orders, used):
+        held[first:after] = np.split(bucket, np.searchsorted(text, np.arange(1, after - first)))
+    return weighed(held, labels, shares, ratio, used, orders)
+
+
+def weighed(held: list[np.ndarray], labels: np.ndarray, shares: tuple[float, float], ratio: np.ndarray, used: np.ndarray, orders: tuple[int, ...]) -> Model:
+    """The regression: held has each text's buckets among the used ones."""
+    size, positive, texts = 1 << BUCKET_BITS, labels.astype(bool), held
+    n1, n0 = max(int(positive.sum()), 1), max(int((~positive).sum()), 1)
+    if not positive.any() or positive.all():
+        return Model(np.zeros(size), np.log(max(shares[1], 1e-6) / max(shares[0], 1e-6)), orders)
     number = np.full(size, -1, np.int32)
     number[used] = np.arange(int(used.sum()))
-    rows, cols = [], []
-    for first, _, text, bucket in present(column, orders, used):
-        rows.append((first + text).astype(np.int32))
-        cols.append(number[bucket])
-    row, col = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, cols))
-    del rows, cols
+    row = np.repeat(np.arange(len(held), dtype=np.int32), [len(x) for x in held])
+    col = number[np.concatenate([*held, np.zeros(0, np.int64)]).astype(np.int64)]
     r = ratio[used]
     # Each text weighs so that classes have their shares of all labelled texts.
     weight = np.where(positive, shares[1] / n1, shares[0] / n0)
@@ -158,23 +166,66 @@ def keeper(model: Model, threshold: float):
     return of
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column | None, bounds: dict[int, int]) -> tuple[list, np.ndarray, tuple[float, float]]:
-    """Bounded labelled texts by class, in order of the md5 of their id, and the classes' shares.
+def counter(orders: tuple[int, ...]):
+    """A mapInArrow function: labelled texts to how many of each class have each bucket."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = 1 << BUCKET_BITS
+        both = np.zeros((2, size), np.int64)
+        for batch in batches:
+            positive = batch.column("y").to_numpy(zero_copy_only=False) == 1
+            for first, _, text, bucket in present(batch.column("text"), orders):
+                for y in (0, 1):
+                    both[y] += np.bincount(bucket[positive[first + text] == y], minlength=size)
+        some = np.flatnonzero(both.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(both[1, some]), pa.array(both[0, some])], names=["bucket", "in_1", "in_0"])
+
+    return of
+
+
+def holder(used: np.ndarray, orders: tuple[int, ...]):
+    """A mapInArrow function: labelled texts to their buckets among the used ones."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: list[np.ndarray] = []
+            for first, after, text, bucket in present(batch.column("text"), orders, used):
+                held += np.split(bucket.astype(np.int32), np.searchsorted(text, np.arange(1, after - first)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(held, pa.list_(pa.int32()))], names=["doc_id", "y", "held"])
+
+    return of
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str, fold: Column | None, bounds: dict[int, int], orders: tuple[int, ...] = ORDERS) -> Model:
+    """A model from bounded labelled texts by class, in order of the md5 of their id.
 
-    Only rows of labels for which fold holds and whose label is 0 or 1 are seen.
+    Only rows of labels for which fold holds and whose label is 0 or 1 are seen; an id labelled both
+    ways counts as 1. Of several texts under one id the least is learnt. Texts stay on the executors:
+    the driver gets the counts of the buckets, and each text's buckets among those that tell the
+    classes apart.
     """
-    seen = labels.where(F.lit(True) if fold is None else fold).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("y")).dropDuplicates(["doc_id"])
+    seen = labels.where(F.lit(True) if fold is None else fold).where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     n = {r.y: r.n for r in seen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = max(sum(n.values()), 1)
+    share = lambda y: min(max(n.get(y, 0) / total, 1e-6), 1 - 1e-6)
     chosen = None
     for y, most in bounds.items():
         part = seen.where(F.col("y") == y).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     # At most the sum of the bounds, so small enough to broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
-    share = lambda y: min(max(n.get(y, 0) / total, 1e-6), 1 - 1e-6)
-    return [r.text for r in rows], np.array([r.y for r in rows], int), (share(0), share(1))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    with scratch():
+        rows = written(rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "labelled-texts")
+        size = 1 << BUCKET_BITS
+        in_1, in_0 = np.zeros(size), np.zeros(size)
+        # At most one row for each bucket.
+        counts = rows.mapInArrow(counter(orders), "bucket long, in_1 long, in_0 long").groupBy("bucket").agg(F.sum("in_1").alias("in_1"), F.sum("in_0").alias("in_0"))
+        told = counts.where(F.col("in_1") + F.col("in_0") >= LEAST_TEXTS).toPandas()
+        in_1[told["bucket"]], in_0[told["bucket"]] = told["in_1"], told["in_0"]
+        m = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        ratio, used = ratios(in_1, in_0, max(m.get(1, 0), 1), max(m.get(0, 0), 1))
+        got = rows.mapInArrow(holder(used, orders), "doc_id long, y int, held array<int>").toPandas().sort_values("doc_id")
+    return weighed([np.asarray(x, np.int64) for x in got["held"]], got["y"].to_numpy(int), (share(0), share(1)), ratio, used, orders)
 
 
 def outside_fold(modulus: int, held: int) -> Column:
@@ -195,12 +246,11 @@ def score_toxicity(
     most `bounds` of each class. A null text is empty; an empty text scores what the bias says.
     Without labels of both classes all texts score their share. Rows stay rows. Returns doc_id, score.
     """
-    texts, y, shares = sample(docs, labels, "toxic", training, bounds)
-    model = fit(texts, y, shares, orders)
+    model = fitted(docs, labels, "toxic", training, bounds, orders)
     return docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, training: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, without the rows that score_toxicity puts at the threshold or above."""
-    texts, y, shares = sample(docs, labels, "toxic", training, {1: FIT_POSITIVE, 0: FIT_NEGATIVE})
-    return docs.mapInArrow(keeper(fit(texts, y, shares), threshold), docs.schema)
+    model = fitted(docs, labels, "toxic", training, {1: FIT_POSITIVE, 0: FIT_NEGATIVE})
+    return docs.mapInArrow(keeper(model, threshold), docs.schema)
