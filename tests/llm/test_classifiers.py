@@ -61,6 +61,72 @@ def test_toxicity_scores_match_a_plain_sum(spark):
         assert abs(s - 1 / (1 + np.exp(-(sum(model.weights[b] for b in buckets) + model.bias)))) < 1e-9
 
 
+def test_toxicity_fit_is_that_of_plain_descent():
+    """The same penalised risk, by slow descent with small steps on a dense table of n-grams."""
+    rows = corpus(150, 3)
+    texts, y = [t for _, t, _, _ in rows], np.array([x for _, _, x, _ in rows])
+    shares = (0.8, 0.2)
+    model = toxicity.fit(texts, y, shares)
+    held = []
+    for t in texts:
+        raw = t.lower().encode()
+        held.append({b for bucket, _ in toxicity.ngrams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), model.orders) for b in bucket.tolist()})
+    every = sorted(set().union(*held))
+    in_1 = {b: sum(b in h for h, k in zip(held, y) if k) for b in every}
+    in_0 = {b: sum(b in h for h, k in zip(held, y) if not k) for b in every}
+    n1, n0 = y.sum(), (1 - y).sum()
+    ratio = {b: np.log((in_1[b] + 1) / (n1 + 2)) - np.log((in_0[b] + 1) / (n0 + 2)) for b in every}
+    used = [b for b in every if in_1[b] + in_0[b] >= toxicity.LEAST_TEXTS and abs(ratio[b]) > toxicity.LEAST_RATIO]
+    x = np.array([[ratio[b] * (b in h) for b in used] for h in held])
+    weight = np.where(y == 1, shares[1] / n1, shares[0] / n0)
+    w, bias = np.zeros(len(used)), np.log(shares[1] / shares[0])
+    step = 4 / (weight @ (x**2).sum(1))
+    for _ in range(6000):
+        g = weight * (1 / (1 + np.exp(-(x @ w + bias))) - y)
+        w = w - step * (x.T @ g)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * toxicity.PENALTY, 0)
+        bias -= g.sum()
+    risk = lambda v, c: weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ v + c)) + toxicity.PENALTY * np.abs(v).sum()
+    own = np.array([model.weights[b] / ratio[b] for b in used])
+    assert set(np.flatnonzero(model.weights)) <= set(used)
+    start = risk(0 * w, np.log(shares[1] / shares[0]))
+    assert risk(own, model.bias) - risk(w, bias) <= 0.01 * start
+    chance = lambda v, c: 1 / (1 + np.exp(-(x @ v + c)))
+    assert np.abs(chance(own, model.bias) - chance(w, bias)).max() < 0.05
+
+
+def test_an_id_labelled_both_ways_is_toxic(spark):
+    rows, docs, labels = frames(spark)
+    other = spark.createDataFrame([(d, 1 - x, g) for d, _, x, g in rows if x], "doc_id long, toxic int, quality int")
+    a, b = (toxicity.fitted(docs, x, "toxic", None, {1: 400, 0: 400}) for x in (labels, labels.unionByName(other)))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias
+
+
+def test_quality_sees_runs_of_letters(spark):
+    """Bad texts that differ from good ones in their letters only: no mark, length or repeat tells them."""
+    rng = random.Random(12)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(3, 7)))
+    rows = [(i, " ".join(word("aeiourstnl" if i % 4 else "qxzjkwvyfg") for _ in range(120)), int(i % 4 > 0)) for i in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, g) for d, _, g in rows if d % 2], "doc_id long, quality int")
+    score = {r.doc_id: r.score for r in pu_quality.score_quality(docs, labels).collect()}
+    assert np.mean([(score[d] >= 0.5) == bool(g) for d, _, g in rows if not d % 2]) > 0.95
+
+
+def test_negative_risk_is_not_let_below_zero():
+    """A plain non-negative fit by numeric gradients reaches the same risk on the same features."""
+    rng = np.random.default_rng(2)
+    make = lambda n, at: np.column_stack([rng.normal(at, 1, (n, pu_quality.RATES)), np.zeros((n, pu_quality.HASHED))])
+    positive = make(300, 1.5)
+    unlabelled = np.vstack([make(400, 1.5), make(200, -1.5)])
+    model = pu_quality.fit(positive, unlabelled)
+    assert abs(model.prior - 2 / 3) < 0.1
+    z = lambda x: pu_quality.expanded(x, model.centre, model.spread) @ model.weights
+    of_u, of_p = np.logaddexp(0, z(unlabelled)).mean(), np.logaddexp(0, z(positive)).mean()
+    assert of_u - model.prior * of_p > -0.05
+    assert np.mean(z(make(500, 1.5)) > 0) > 0.95 and np.mean(z(make(500, -1.5)) < 0) > 0.95
+
+
 def test_without_labels(spark):
     _, docs, labels = frames(spark)
     assert len({r.score for r in toxicity.score_toxicity(docs, labels.limit(0)).collect()}) == 1

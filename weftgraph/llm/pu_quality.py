@@ -5,6 +5,9 @@ the positives' part of it by the class prior, and where the estimate of it falls
 gradient is reversed (non-negative unbiased risk). The prior comes from the scores of a classifier
 of positives against unlabelled texts: where positives are densest, unlabelled texts are at most
 that dense times the prior.
+
+A text is its surface rates (lengths, marks, repeats), bent so that a rate may count when far to
+either side of what positives have, and the shares of its runs of three bytes, hashed to buckets.
 """
 
 from __future__ import annotations
@@ -21,8 +24,11 @@ from weftgraph.llm import textcore, textstats
 
 #: Documented bounds of the samples that the model is fitted on.
 FIT_POSITIVE, FIT_UNLABELLED = 5000, 10000
-ROUNDS, RATE, DECAY, THRESHOLD = 1500, 0.05, 1e-4, 0.5
-FEATURES = 11
+ROUNDS, RATE, THRESHOLD = 700, 0.05, 0.5
+RATES, HASHED = 11, 256
+FEATURES = RATES + HASHED
+#: Weight decay of the bent rates, and of the buckets.
+DECAY, DECAY_HASHED = 1e-4, 1e-3
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -46,6 +52,20 @@ def features(stats: dict[str, np.ndarray]) -> np.ndarray:
     )
 
 
+def run_shares(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Square roots of the shares of each text's runs of three bytes that fall in each bucket, ASCII letters lower-cased."""
+    n = len(offsets) - 1
+    counts = np.zeros((n, HASHED), np.float32)
+    if len(data) >= 3:
+        b = (data | (((data >= 65) & (data <= 90)).astype(np.uint8) << 5)).astype(np.uint32)
+        h = ((b[:-2] << 16) | (b[1:-1] << 8) | b[2:]) * np.uint32(0x9E3779B1)
+        bucket = (h >> np.uint32(24)).astype(np.int64)
+        text = np.repeat(np.arange(n), np.diff(offsets))
+        inside = text[:-2] == text[2:]
+        counts = np.bincount(text[:-2][inside] * HASHED + bucket[inside], minlength=n * HASHED).reshape(n, HASHED).astype(np.float32)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) * HASHED)
+
+
 class Model(NamedTuple):
     centre: np.ndarray
     spread: np.ndarray
@@ -54,10 +74,11 @@ class Model(NamedTuple):
 
 
 def expanded(x: np.ndarray, centre: np.ndarray, spread: np.ndarray) -> np.ndarray:
-    """Standardised rates, how far each lies above and below, squashed, and a constant."""
+    """Standardised rates, how far each lies above and below, squashed; standardised buckets; a constant."""
     z = (x - centre) / spread
-    t = 2 * np.sign(z) * np.log1p(np.abs(z))
-    return np.column_stack([t, np.maximum(t - 1.5, 0), np.maximum(-1.5 - t, 0), np.maximum(t - 5, 0), np.ones(len(z))])
+    t = 2 * np.sign(z[:, :RATES]) * np.log1p(np.abs(z[:, :RATES]))
+    hashed = np.clip(z[:, RATES:], -8, 8) / np.sqrt(HASHED)
+    return np.column_stack([t, np.maximum(t - 1.5, 0), np.maximum(-1.5 - t, 0), np.maximum(t - 5, 0), np.ones(len(z)), hashed]).astype(np.float32)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -66,9 +87,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def descend(gradient, size: int, rounds: int = ROUNDS) -> np.ndarray:
     """Adam on a full-batch gradient."""
-    w, m, v = np.zeros(size), np.zeros(size), np.zeros(size)
+    w, m, v = (np.zeros(size, np.float32) for _ in range(3))
+    decay = np.append(np.full(size - HASHED, DECAY), np.full(HASHED, DECAY_HASHED)).astype(np.float32)
     for t in range(1, rounds + 1):
-        g = gradient(w) + DECAY * w
+        g = gradient(w) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -90,9 +112,9 @@ def prior_of(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
     """nnPU with the logistic loss on a linear model of the expanded rates."""
     if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(4 * FEATURES + 1), 0.5)
+        return Model(np.zeros(FEATURES), np.ones(FEATURES), np.zeros(4 * RATES + 1 + HASHED), 0.5)
     centre = np.median(positive, axis=0)
-    spread = np.maximum(1.4826 * np.median(np.abs(positive - centre), axis=0), 0.05)
+    spread = np.maximum(1.4826 * np.median(np.abs(positive - centre), axis=0), np.append(np.full(RATES, 0.05), np.full(HASHED, 0.2)))
     p, u = expanded(positive, centre, spread), expanded(unlabelled, centre, spread)
 
     # Each half is ranked by a classifier of the other, so that no text is ranked by what it taught.
@@ -118,22 +140,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray) -> Model:
 
 
 def _rates(batch: pa.RecordBatch) -> np.ndarray:
-    out = np.zeros((len(batch), FEATURES))
+    out = np.zeros((len(batch), FEATURES), np.float32)
     for first, after, data, offsets in textcore.steps(batch.column("text")):
-        out[first:after] = features(textstats.counts(data, offsets))
+        out[first:after, :RATES] = features(textstats.counts(data, offsets))
+        out[first:after, RATES:] = run_shares(data, offsets)
     return out
 
 
 def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rates = pa.array(list(_rates(batch)), pa.list_(pa.float64()))
+        rates = pa.array(list(_rates(batch)), pa.list_(pa.float32()))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("positive"), rates], names=["doc_id", "positive", "x"])
 
 
 def scorer(model: Model):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = sigmoid(expanded(_rates(batch), model.centre, model.spread) @ model.weights)
+            score = sigmoid(expanded(_rates(batch), model.centre, model.spread).astype(np.float64) @ model.weights)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
 
     return of
@@ -147,9 +170,9 @@ def fitted(docs: DataFrame, labels: DataFrame, training: Column | None = None, n
     # At most the sum of the bounds, so small enough to broadcast.
     chosen = trusted.withColumn("positive", F.lit(True)).unionByName(other.withColumn("positive", F.lit(False)))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "positive")
-    got = rows.mapInArrow(rated, "doc_id long, positive boolean, x array<double>").collect()
-    got.sort(key=lambda r: (r.doc_id, r.x))
-    part = lambda flag: np.array([r.x for r in got if r.positive == flag]).reshape(-1, FEATURES)
+    got = rows.mapInArrow(rated, "doc_id long, positive boolean, x array<float>").toPandas()
+    got = got.iloc[sorted(range(len(got)), key=lambda k: (got["doc_id"].iat[k], tuple(got["x"].iat[k])))]
+    part = lambda flag: np.array([x for x, y in zip(got["x"], got["positive"]) if y == flag], np.float64).reshape(-1, FEATURES)
     return fit(part(True), part(False))
 
 
