@@ -80,4 +80,40 @@ def test_packet_table(spark):
     assert sum(r.length for r in got if r.doc_id == 1) == 1000
     assert [r.error is not None for r in got if r.doc_id == 2] == [True]
     assert not [r for r in got if r.doc_id == 3]
-    assert struct.calcsize(">d") == 8
+    assert [(r.error is not None, r.start) for r in got if r.doc_id == 4] == [(True, None)]
+
+
+def test_a_file_cut_anywhere_is_an_error():
+    data = m.write_pcm(bytes(range(200)) * 15)
+    for cut in range(60, len(data), 37):
+        with pytest.raises((ValueError, IndexError, struct.error)):
+            m.read(data[:cut])
+
+
+def test_times_and_durations():
+    """Units of half a millisecond; a lace by its track's default, one by its block's duration, a frame with neither."""
+    info = m.element(m.INFO, m.unsigned(m.TIMESTAMP_SCALE, 500_000))
+    entry = lambda n, *more: m.element(m.TRACK_ENTRY, m.unsigned(m.TRACK_NUMBER, n) + b"".join(more))
+    tracks = m.element(m.TRACKS, entry(1, m.unsigned(m.DEFAULT_DURATION, 20_000_000)) + entry(2))
+    group = m.element(m.BLOCK_GROUP, m.element(m.BLOCK, m.block(2, 4, [b"ab", b"cd", b"ef"], m.FIXED)) + m.unsigned(m.BLOCK_DURATION, 12))
+    simple = m.element(m.SIMPLE_BLOCK, m.block(1, 0, [b"x", b"yy"], m.XIPH)) + m.element(m.SIMPLE_BLOCK, m.block(2, -1, [b"z"], m.NONE))
+    data = m.element(m.EBML, b"") + m.element(m.SEGMENT, info + tracks + m.element(m.CLUSTER, m.unsigned(m.TIMESTAMP, 100) + simple + group))
+    assert [(p.track, p.timestamp, p.time_ns, p.duration_ns) for p in m.read(data)[0]] == [
+        (1, 100, 50_000_000, 20_000_000), (1, 100, 70_000_000, 20_000_000), (2, 99, 49_500_000, None),
+        (2, 104, 52_000_000, 2_000_000), (2, 104, 54_000_000, 2_000_000), (2, 104, 56_000_000, 2_000_000),
+    ]
+
+
+def test_seek_heads_voids_and_checksums():
+    summed = lambda body: m.element(m.CRC_32, zlib.crc32(body).to_bytes(4, "little")) + body
+    void = m.element(m.VOID, b"\x00\xff junk \x80")
+    tracks = m.element(m.TRACKS, summed(void + m.element(m.TRACK_ENTRY, m.unsigned(m.TRACK_NUMBER, 3) + m.element(m.CODEC_ID, b"V_X"))))
+    inner = m.unsigned(m.TIMESTAMP, 9) + void + m.element(m.SIMPLE_BLOCK, m.block(3, 1, [b"frame"], m.NONE))
+    cues = m.element(m.CUES, void + m.element(m.CUE_POINT, m.unsigned(m.CUE_TIME, 9) + m.element(m.CUE_POSITIONS, m.unsigned(m.CUE_TRACK, 3) + m.unsigned(m.CUE_CLUSTER, 7))))
+    body = m.element(m.SEEK_HEAD, b"\x4d\xbb\x80") + void + tracks + m.element(m.CLUSTER, summed(inner)) + cues
+    data = m.element(m.EBML, b"") + m.element(m.SEGMENT, body)
+    packets, found, codecs = m.read(data)
+    assert [(p.track, p.timestamp, data[p.start : p.start + p.length]) for p in packets] == [(3, 10, b"frame")]
+    assert codecs == {3: "V_X"} and [c[:2] for c in found] == [(9, 3)]
+    with pytest.raises(ValueError, match="checksum"):
+        m.read(data.replace(b"frame", b"frane"))

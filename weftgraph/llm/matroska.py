@@ -22,9 +22,11 @@ EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966,
 EBML_VERSION, EBML_READ, EBML_ID_LENGTH, EBML_SIZE_LENGTH, DOC_TYPE, DOC_VERSION, DOC_READ = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, FLAG_LACING, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+DEFAULT_DURATION = 0x23E383
+TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, BLOCK_DURATION, REFERENCE = 0xE7, 0xA3, 0xA0, 0xA1, 0x9B, 0xFB
+CRC_32, VOID, SEEK_HEAD = 0xBF, 0xEC, 0x114D9B74
 CUE_POINT, CUE_TIME, CUE_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, 0x114D9B74, 0x1043A770, 0x1941A469, 0x1254C367}
+TOP = {EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, 0x1043A770, 0x1941A469, 0x1254C367}
 #: Laces by the two bits of a block's flags.
 NONE, XIPH, FIXED, EBML_LACE = 0, 1, 2, 3
 RATE, FRAME, LACE, CLUSTER_BYTES = 8000, 512, 8, 65536
@@ -37,6 +39,8 @@ class Packet(NamedTuple):
     cluster: int  # offset of the cluster's element
     start: int  # byte range of the frame in the file
     length: int
+    time_ns: int  # of the frame itself: laced frames follow each other where their duration is known
+    duration_ns: int | None  # from the block, else the track's default
 
 
 # --- writing -----------------------------------------------------------------
@@ -88,7 +92,7 @@ def write_pcm(payload: bytes, rate: int = RATE) -> bytes:
     )
     info = element(INFO, unsigned(TIMESTAMP_SCALE, 1_000_000) + element(DURATION, struct.pack(">d", 1000 * len(payload) / rate)) + element(MUXING_APP, b"weft") + element(WRITING_APP, b"weft"))
     audio = element(AUDIO, element(SAMPLING, struct.pack(">d", rate)) + unsigned(CHANNELS, 1) + unsigned(BIT_DEPTH, 8))
-    entry = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio
+    entry = unsigned(TRACK_NUMBER, 1) + unsigned(TRACK_UID, 1) + unsigned(TRACK_TYPE, 2) + unsigned(FLAG_LACING, 1) + unsigned(DEFAULT_DURATION, FRAME * 1_000_000_000 // rate) + element(CODEC_ID, b"A_PCM/INT/LIT") + audio
     body, cues = [info, element(TRACKS, element(TRACK_ENTRY, entry))], []
     at = sum(map(len, body))
     for begin in range(0, len(payload), CLUSTER_BYTES):
@@ -122,17 +126,26 @@ def read_vint(data: bytes, at: int) -> tuple[int, int, int]:
     return (-1 if value == (1 << 7 * length) - 1 else value), whole, at + length
 
 
-def elements(data: bytes, at: int, end: int, unknown_ends: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int, int]]:
-    """(id, offset of the element, start and end of its body) of the elements between two offsets."""
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
+    """(id, offset of the element, start and end of its body) of the elements between two offsets.
+
+    An element that runs past the end is an error: a file cut short isn't read as a whole one. Void
+    elements are passed over; a CRC-32, which comes first, is held against the rest.
+    """
+    first = True
     while at < end:
         begin = at
         _, number, at = read_vint(data, at)
-        if number in unknown_ends:
-            return
         size, _, at = read_vint(data, at)
-        after = min(at + size, end) if size >= 0 else unknown_end(data, at, end, number)
-        yield number, begin, at, after
-        at = after
+        after = at + size if size >= 0 else unknown_end(data, at, end, number)
+        if after > end:
+            raise ValueError(f"element {number:X} at {begin} runs past its parent's end")
+        if number == CRC_32 and first:
+            if int.from_bytes(data[at:after], "little") != zlib.crc32(data[after:end]):
+                raise ValueError(f"checksum at {begin} does not match")
+        elif number != VOID:
+            yield number, begin, at, after
+        at, first = after, False
 
 
 def unknown_end(data: bytes, at: int, end: int, number: int) -> int:
@@ -195,33 +208,25 @@ def read(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict[in
     packets: list[Packet] = []
     cues: list[tuple[int, int, int]] = []
     codecs: dict[int, str] = {}
+    scale, lasting = 1_000_000, dict[int, int]()  # a segment's own, where it says nothing
     for number, _, start, end in elements(data, 0, len(data)):
         if number != SEGMENT:
             continue
         for kind, begin, low, high in elements(data, start, end):
-            if kind == TRACKS:
-                for _, _, a, b in elements(data, low, high):
+            if kind == INFO:
+                scale = next((number_in(data, a, b) for k, _, a, b in elements(data, low, high) if k == TIMESTAMP_SCALE), scale)
+            elif kind == TRACKS:
+                for _, _, a, b in (x for x in elements(data, low, high) if x[0] == TRACK_ENTRY):
                     entry = {k: (x, y) for k, _, x, y in elements(data, a, b)}
                     if TRACK_NUMBER in entry:
-                        codecs[number_in(data, *entry[TRACK_NUMBER])] = data[slice(*entry.get(CODEC_ID, (0, 0)))].decode("ascii", "replace")
+                        track = number_in(data, *entry[TRACK_NUMBER])
+                        codecs[track] = data[slice(*entry.get(CODEC_ID, (0, 0)))].decode("ascii", "replace")
+                        if DEFAULT_DURATION in entry:
+                            lasting[track] = number_in(data, *entry[DEFAULT_DURATION])
             elif kind == CLUSTER:
-                time = 0
-                for inner, _, a, b in elements(data, low, high):
-                    if inner == TIMESTAMP:
-                        time = number_in(data, a, b)
-                    elif inner in (SIMPLE_BLOCK, BLOCK_GROUP):
-                        key = None
-                        if inner == BLOCK_GROUP:
-                            group = {k: (x, y) for k, _, x, y in elements(data, a, b)}
-                            if BLOCK not in group:
-                                continue
-                            key = REFERENCE not in group
-                            a, b = group[BLOCK]
-                        track, relative, flags, frames = frames_of(data, a, b)
-                        key = bool(flags & 0x80) if key is None else key
-                        packets += [Packet(track, time + relative, key, begin, s, n) for s, n in frames]
+                packets += cluster(data, begin, low, high, scale, lasting)
             elif kind == CUES:
-                for _, _, a, b in elements(data, low, high):
+                for _, _, a, b in (x for x in elements(data, low, high) if x[0] == CUE_POINT):
                     point = [(k, x, y) for k, _, x, y in elements(data, a, b)]
                     at = next((number_in(data, x, y) for k, x, y in point if k == CUE_TIME), 0)
                     for k, x, y in point:
@@ -231,6 +236,30 @@ def read(data: bytes) -> tuple[list[Packet], list[tuple[int, int, int]], dict[in
     return packets, cues, codecs
 
 
+def cluster(data: bytes, begin: int, low: int, high: int, scale: int, lasting: dict[int, int]) -> Iterator[Packet]:
+    """A cluster's packets. scale: nanoseconds of a timestamp's unit; lasting: of a frame, by track."""
+    time = 0
+    for kind, _, a, b in elements(data, low, high):
+        key = duration = None
+        if kind == TIMESTAMP:
+            time = number_in(data, a, b)
+        if kind == BLOCK_GROUP:
+            group = {k: (x, y) for k, _, x, y in elements(data, a, b)}
+            if BLOCK not in group:
+                continue
+            key = REFERENCE not in group
+            if BLOCK_DURATION in group:
+                duration = number_in(data, *group[BLOCK_DURATION]) * scale
+            a, b = group[BLOCK]
+        elif kind != SIMPLE_BLOCK:
+            continue
+        track, relative, flags, frames = frames_of(data, a, b)
+        key = bool(flags & 0x80) if key is None else key
+        each = lasting.get(track) if duration is None else duration // len(frames)
+        for k, (s, n) in enumerate(frames):
+            yield Packet(track, time + relative, key, begin, s, n, (time + relative) * scale + k * (each or 0), each)
+
+
 def samples(data: bytes, track: int = 1) -> bytes:
     """A track's frames in order, found by the packet table."""
     return b"".join([data[p.start : p.start + p.length] for p in read(data)[0] if p.track == track])
@@ -299,13 +328,13 @@ def media_digests(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "n_bytes", "media").mapInArrow(digests, DIGEST)
 
 
-PACKETS = "doc_id long, track long, timestamp long, keyframe boolean, cluster long, start long, length long, error string"
+PACKETS = "doc_id long, track long, timestamp long, keyframe boolean, cluster long, start long, length long, time_ns long, duration_ns long, error string"
 
 
 def packet_table(media: DataFrame) -> DataFrame:
-    """One row for each packet of media files: doc_id, track, timestamp, keyframe, cluster, start, length.
+    """One row for each packet of media files: doc_id, track, timestamp, keyframe, cluster, start, length, time_ns, duration_ns.
 
-    media: doc_id, media. A null file has no packets. A file that can't be parsed gives one row with
+    media: doc_id, media. A null file has no packets. A file that can't be parsed, or is cut short, gives one row with
     what is wrong in error and nulls elsewhere.
     """
 
@@ -318,9 +347,9 @@ def packet_table(media: DataFrame) -> DataFrame:
                 try:
                     rows += [(doc, *p, None) for p in read(cell.as_py())[0]]
                 except (ValueError, IndexError, struct.error) as e:
-                    rows.append((doc, None, None, None, None, None, None, str(e)))
+                    rows.append((doc, *[None] * len(Packet._fields), str(e)))
             i = pa.int64()
-            kinds = (i, i, i, pa.bool_(), i, i, i, pa.string())
+            kinds = (i, i, i, pa.bool_(), i, i, i, i, i, pa.string())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[x.split()[0] for x in PACKETS.split(", ")]
             )
