@@ -124,9 +124,9 @@ def format_chats(events: DataFrame, trained_roles: tuple[str, ...] = ("assistant
 def chat_digest(formatted: DataFrame) -> DataFrame:
     """Digests of what is read back from formatted strings: all turns, and what the loss mask covers."""
     back = formatted.select("conv_id", "formatted", "turns", parse(F.col("formatted")).alias("back"))
-    read = F.zip_with("back", "turns", lambda b, t: F.struct(b["role"].alias("role"), b["text"].alias("text"), t["loss"].alias("loss")))
-    back = back.withColumn("back", read)
-    masked = F.array_join(F.transform(F.filter("back", lambda t: t["loss"]), lambda t: t["text"]), "")
+    # What the mask covers is cut from the string at the spans, so a wrong span shows.
+    cut = lambda t: unescaped(F.substring(F.col("formatted"), (t["start"] + 1).cast("int"), t["length"].cast("int")))
+    masked = F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), cut), "")
     whole = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",
