@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm import textcore
 from weftgraph.llm.components import components
-from weftgraph.llm.storage import written
+from weftgraph.llm.storage import Written, scratch, written
 
 BITS = 64
 
@@ -131,8 +131,6 @@ def link(radius: int = 3):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
         def runs(t: np.ndarray, key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             cut = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0)) + 1
             begin, end = np.concatenate([[0], cut]), np.concatenate([cut, [len(t)]])
@@ -145,18 +143,21 @@ def link(radius: int = 3):
             pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], schema=schema)
 
+        held: list[list[np.ndarray]] = []  # rows of the bucket that isn't known to be whole yet
         for batch in batches:
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("t", "key", "fp")]
-            t, key, fp = (np.concatenate([h, x]) for h, x in zip(held, [new[0], new[1], new[2].view(np.uint64)]))
-            if not len(t):
+            if not len(batch):
                 continue
-            whole = np.flatnonzero((t != t[-1]) | (key != key[-1]))
-            done = whole[-1] + 1 if len(whole) else 0
-            held = (t[done:], key[done:], fp[done:])
-            if done:
-                yield runs(t[:done], key[:done], fp[:done])
-        if len(held[0]) > 1:
-            yield runs(*held)
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("t", "key", "fp")]
+            new[2] = new[2].view(np.uint64)
+            ends = np.flatnonzero((np.diff(new[0]) != 0) | (np.diff(new[1]) != 0))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            goes_on = bool(held) and held[-1][0][-1] == new[0][0] and held[-1][1][-1] == new[1][0]
+            if cut or held and not goes_on:
+                yield runs(*(np.concatenate(x) for x in zip(*held, [x[:cut] for x in new])))
+                held = []
+            held.append([x[cut:] for x in new])
+        if held:
+            yield runs(*(np.concatenate(x) for x in zip(*held)))
 
     return of
 
@@ -175,7 +176,9 @@ def _groups(nodes: DataFrame, radius: int) -> DataFrame:
     parts = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_rows = keyed.repartition(parts, "t", "key").sortWithinPartitions("t", "key", "fp")
     edges = sorted_rows.mapInArrow(link(radius), "a long, b long")
-    found = written(components(edges), "components")
+    with scratch() as kept:
+        kept.append(table := Written(components(edges), "components"))
+    found = table.read()
     return nodes.join(found, nodes.fp == found.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
