@@ -185,9 +185,10 @@ class Compiler:
         return Typed(x.col.isNotNull() if e.negated else x.col.isNull(), "boolean")
 
     def pair(self, a: s.Expr, b: s.Expr, default: str = "string") -> tuple[Typed, Typed]:
-        """Both sides, values without a type of their own taking the other's."""
+        """Both sides, values without a type of their own taking the other's, and being fractions beside a whole number."""
         x, y = self.raw(a), self.raw(b)
         known = next((t.kind for t in (x, y) if not t.retype and t.kind not in (None, "void")), default)
+        known = "double" if known in INTS else known
         return x.settled(known), y.settled(known)
 
     def _binary(self, e: s.Binary) -> Typed:
@@ -247,6 +248,7 @@ class Compiler:
             known = known or next((i.kind for i in items if not i.retype and i.kind != "void"), "string")
             if not items:
                 return Typed(F.lit(False), "boolean")
+            known = "double" if known in INTS and any(i.retype for i in (x, *items)) else known
             return Typed(x.settled(known).col.isin(*[i.settled(known).col for i in items]), "boolean")
         known = (None if x.retype else x.kind) or "string"
         y = self.typed(e.right, f"array<{known}>")
