@@ -188,13 +188,112 @@ def _nullif(a: Typed, b: Typed) -> Typed:
     return Typed(F.nullif(a.col, b.col), a.kind)
 
 
+def moment(x: Typed | None) -> Column:
+    """A time from its text; now where there is none."""
+    if x is None:
+        return F.current_timestamp()
+    text = x.col.cast("string")
+    return F.when(F.lower(text) == "now", F.current_timestamp()).otherwise(F.try_to_timestamp(text))
+
+
+#: Conversions of a time format and the same in Spark's patterns.
+TIME_PARTS = {
+    "%Y": "yyyy", "%m": "MM", "%d": "dd", "%H": "HH", "%M": "mm", "%S": "ss", "%f": "ss.SSS", "%j": "DDD", "%F": "yyyy-MM-dd",
+    "%T": "HH:mm:ss", "%R": "HH:mm", "%I": "hh", "%p": "a",
+}
+
+
+def strftime(form: Typed, x: Typed | None = None) -> Typed:
+    at, out = moment(x), form.col.cast("string")
+    for part, pattern in TIME_PARTS.items():
+        out = F.replace(out, F.lit(part), F.date_format(at, pattern))
+    out = F.replace(out, F.lit("%s"), F.unix_seconds(at).cast("string"))
+    out = F.replace(out, F.lit("%w"), (F.dayofweek(at) - 1).cast("string"))
+    return Typed(F.when(at.isNotNull(), F.replace(out, F.lit("%%"), F.lit("%"))), "string")
+
+
+def _dated(pattern: str) -> Callable[..., Typed]:
+    return lambda x=None: Typed(F.date_format(moment(x), pattern), "string")
+
+
+def julian_day(x: Typed | None = None) -> Typed:
+    """Days since noon of 24 November 4714 BC; the Unix epoch is day 2440587.5."""
+    return Typed(F.unix_millis(moment(x)) / 86400000.0 + 2440587.5, "double")
+
+
+def extreme(fn: Callable[..., Column]) -> Callable[..., Typed]:
+    """Least or greatest of several values; null where one is null."""
+
+    def of(*xs: Typed) -> Typed:
+        known = next((x.kind for x in xs if x.kind not in (None, "void")), None)
+        cols = [x.settled(known).col for x in xs]
+        none = cols[0].isNull()
+        for c in cols[1:]:
+            none = none | c.isNull()
+        return Typed(F.when(~none, fn(*cols)), known)
+
+    return of
+
+
+def json_of(x: Typed) -> Column:
+    """A value as JSON text."""
+    if x.kind == "string":
+        return F.coalesce(F.to_json(x.col.cast("variant")), F.lit("null"))
+    if x.kind in (None, "void"):
+        return F.lit("null") if x.kind == "void" else F.coalesce(F.to_json(x.col), F.lit("null"))
+    if is_list(x.kind) or (x.kind or "").startswith(("struct", "map")):
+        return F.coalesce(F.to_json(x.col), F.lit("null"))
+    return F.coalesce(x.col.cast("string"), F.lit("null"))
+
+
+def json_array(*xs: Typed) -> Typed:
+    return Typed(F.concat(F.lit("["), F.concat_ws(",", *[json_of(x) for x in xs]), F.lit("]")), "string")
+
+
+def json_object(*xs: Typed) -> Typed:
+    pairs = [F.concat(json_of(Typed(k.col.cast("string"), "string")), F.lit(":"), json_of(v)) for k, v in zip(xs[::2], xs[1::2])]
+    return Typed(F.concat(F.lit("{"), F.concat_ws(",", *pairs), F.lit("}")), "string")
+
+
+def json_type(x: Typed, path: Typed | None = None) -> Typed:
+    """object, array, text, integer, real, true, false or null; a null where nothing is."""
+    v = F.try_parse_json(x.col.cast("string"))
+    if path is not None:
+        got = json_get(x, path).col
+        v = F.coalesce(F.try_parse_json(got), F.when(got.isNotNull(), F.to_variant_object(F.struct(got.alias("x")))))
+    kind = F.schema_of_variant(v)
+    flag = F.try_variant_get(v, "$", "boolean")
+    named = (
+        F.when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind == "STRING", "text")
+        .when(kind == "BIGINT", "integer").when(kind == "VOID", "null").when(kind == "BOOLEAN", F.when(flag, "true").otherwise("false")).otherwise("real")
+    )
+    if path is not None:
+        # What is at the path comes as bare text where it is a string.
+        named = F.when(F.try_parse_json(json_get(x, path).col).isNull(), "text").otherwise(named)
+        named = F.when(json_get(x, path).col.isNotNull(), named)
+    return Typed(F.when(v.isNotNull(), named), "string")
+
+
+def _printf(form: Typed, *xs: Typed) -> Typed:
+    return Typed(F.call_function("format_string", form.col, *[x.col for x in xs]), "string")
+
+
+def _two(fn: Callable[..., Column], kind: str = "double") -> Callable[[Typed, Typed], Typed]:
+    return lambda a, b: Typed(fn(a.col.cast("double"), b.col.cast("double")), kind)
+
+
+def _substr(x: Typed, at: Typed, n: Typed | None = None) -> Typed:
+    text = x.col.cast("string")
+    return Typed(text.substr(at.col.cast("int"), n.col.cast("int") if n else F.length(text)), "string")
+
+
 _one: Callable[[Typed], Typed] = lambda x: x
 FUNCTIONS: dict[str, Callable[..., Typed]] = {
     "tostring": lambda x: Typed(x.col.cast("string"), "string"),
     "toupper": _text(F.upper), "tolower": _text(F.lower), "upper": _text(F.upper), "lower": _text(F.lower),
     "left": lambda x, n: Typed(F.left(x.col.cast("string"), n.col.cast("int")), "string"),
     "right": right,
-    "substring": lambda x, at, n=None: Typed(x.col.cast("string").substr(at.col.cast("int"), n.col.cast("int") if n else F.length(x.col.cast("string"))), "string"),
+    "substring": _substr, "substr": _substr,
     "trim": _text(F.trim), "ltrim": _text(F.ltrim), "rtrim": _text(F.rtrim),
     "replace": _text(F.replace), "reverse": lambda x: Typed(F.reverse(x.col), x.kind),
     "split": lambda x, d: Typed(F.split(x.col.cast("string"), F.concat(F.lit("\\Q"), d.col, F.lit("\\E"))), "array<string>"),
@@ -213,6 +312,21 @@ FUNCTIONS: dict[str, Callable[..., Typed]] = {
     "date": lambda x: Typed(F.to_date(x.col).cast("string"), "string"),
     "year": lambda x: Typed(F.year(x.col).cast("bigint"), "bigint"), "month": lambda x: Typed(F.month(x.col).cast("bigint"), "bigint"),
     "day": lambda x: Typed(F.dayofmonth(x.col).cast("bigint"), "bigint"), "hour": lambda x: Typed(F.hour(x.col).cast("bigint"), "bigint"),
+    "strftime": strftime, "datetime": _dated("yyyy-MM-dd HH:mm:ss"), "time": _dated("HH:mm:ss"), "julianday": julian_day,
+    "unixepoch": lambda x=None: Typed(F.unix_seconds(moment(x)), "bigint"),
+    "printf": _printf, "format": _printf, "typeof": type_name, "hex": _text(F.hex), "unicode": lambda x: Typed(F.ascii(x.col.cast("string")).cast("bigint"), "bigint"),
+    "char": lambda *xs: Typed(F.concat(*[F.decode(F.unhex(F.lpad(F.hex(x.col.cast("int")), 8, "0")), "UTF-32") for x in xs]), "string"),
+    "concat": lambda *xs: Typed(F.concat(*[F.coalesce(x.col.cast("string"), F.lit("")) for x in xs]), "string"),
+    "concat_ws": lambda d, *xs: Typed(F.call_function("concat_ws", d.col, *[x.col.cast("string") for x in xs]), "string"),
+    "iif": lambda c, a, b=None: Typed(F.when(c.col, a.col).otherwise(b.settled(a.kind).col if b else F.lit(None)), a.kind),
+    "pow": _two(F.pow), "power": _two(F.pow), "mod": _two(lambda a, b: a % F.nullif(b, F.lit(0.0))), "atan2": _two(F.atan2),
+    "sin": _double(F.sin), "cos": _double(F.cos), "tan": _double(F.tan), "asin": _double(F.asin), "acos": _double(F.acos), "atan": _double(F.atan),
+    "sinh": _double(F.sinh), "cosh": _double(F.cosh), "tanh": _double(F.tanh), "radians": _double(F.radians), "degrees": _double(F.degrees),
+    "ln": _double(F.ln), "log2": _double(F.log2), "pi": lambda: Typed(F.pi(), "double"),
+    "ceiling": lambda x: Typed(F.ceil(x.col).cast("bigint"), "bigint"), "trunc": lambda x: Typed(x.col.cast("bigint"), "bigint"),
+    "least": extreme(F.least), "greatest": extreme(F.greatest),
+    "json_object": json_object, "json_array": json_array, "json_type": json_type, "json": lambda x: Typed(F.to_json(F.try_parse_json(x.col.cast("string"))), "string"),
+    "json_quote": lambda x: Typed(json_of(x), "string"),
     "graph": lambda *_: Typed(F.lit("default"), "string"),
     # Placeholders with fixed results; real ranking is operators.ranking.
     "pagerank": lambda *_: Typed(F.lit(0.0), "double"), "toppagerank": lambda *_: Typed(F.lit("[]"), "string"),

@@ -274,15 +274,31 @@ class Engine:
         x = compiler.raw(e)
         return [x.settled("double").col, x.settled("string").col] if x.retype else [x.col]
 
+    def raw_columns(self, scope: Scope, e: s.Expr, alias: str) -> list[tuple[s.Expr, str]]:
+        """With raw_return, a mapped node is its table's columns, an edge its ends, type and properties; else the item itself."""
+        var = scope.vars.get(e.name) if isinstance(e, s.Name) else None
+        if not isinstance(e, s.Name) or not (isinstance(var, NodeVar) and var.mapping or isinstance(var, EdgeVar)):
+            return [(e, alias)]
+        if isinstance(var, NodeVar):
+            assert var.mapping
+            own = {c: var.column(c) for c in var.mapping.table.columns}
+        else:
+            own = {"source_id": var.part("src"), "target_id": var.part("dst"), "type": var.part("type")}
+            own |= {c: var.part(f"c_{c}") for c in var.columns}
+        assert scope.df is not None
+        out = []
+        for name, value in own.items():
+            held = self.fresh("r")
+            scope.df = scope.df.withColumn(held, value)
+            scope.vars["_" + held] = ValueVar(held)
+            out.append((s.Name("_" + held), name))
+        return out
+
     def rows(self, scope: Scope, clause: s.Projection) -> DataFrame:
         scope = self.based(scope.copy())
         items = self.items(scope, clause)
-        if self.catalog.raw_return and len(items) == 1 and isinstance(items[0][0], s.Name):
-            var = scope.vars.get(items[0][0].name)
-            if isinstance(var, NodeVar) and var.mapping:
-                assert scope.df is not None
-                raw = scope.df.select(*[var.column(c).alias(c) for c in var.mapping.table.columns])
-                return self.paged(raw.distinct() if clause.distinct else raw, clause)
+        if self.catalog.raw_return and not any(has_aggregate(e) for e, _ in items):
+            items = [x for e, alias in items for x in self.raw_columns(scope, e, alias)]
         if any(has_aggregate(e) for e, _ in items) or clause.order and any(has_aggregate(e) for e, _ in clause.order):
             return self.grouped(scope, items, clause)
         compiler = Compiler(self, scope)
