@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.sources.snapshots import snapshot
+from weftgraph.sources.snapshots import settled, snapshot
 
 #: Hops that are unrolled into one plan; longer expansions write each level and stop when none is left.
 UNROLLED = 2
@@ -18,7 +18,7 @@ def expand(seeds: DataFrame, edges: DataFrame, low: int, high: int) -> DataFrame
     """
     stepped = high > UNROLLED
     if stepped:
-        edges = snapshot(edges.select("src", "dst", "type", "eid"))
+        edges = settled(edges.select("src", "dst", "type", "eid"))
     e = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.struct("type", "eid").alias("_e"))
     none = F.array().cast(f"array<{e.schema['_e'].dataType.simpleString()}>")
     now = seeds.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), none.alias("edges"))
@@ -47,26 +47,35 @@ def shortest(seeds: DataFrame, edges: DataFrame, low: int, high: int, every: boo
 
     Breadth first by levels: a pair of seed and node is settled at the first level that reaches it,
     and only new pairs go on. Of several paths, one is the least by its nodes. Shapes as in expand.
+    With low above 1, pairs count as settled from low hops on, so all paths up to high are looked at.
     """
-    edges = snapshot(edges.select("src", "dst", "type", "eid"))
+    if low > 1:
+        paths = expand(seeds, edges, low, high)
+        least = F.min("hops").over(Window.partitionBy("start", "end"))
+        paths = paths.withColumn("_least", least).where("hops = _least").drop("_least")
+        if every:
+            return paths
+        best = paths.groupBy("start", "end", "hops").agg(F.min(F.struct("nodes", "edges")).alias("p"))
+        return best.select("start", "end", "p.nodes", "p.edges", "hops")
+    edges = settled(edges.select("src", "dst", "type", "eid"))
     e = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.struct("type", "eid").alias("_e"))
     none = F.array().cast(f"array<{e.schema['_e'].dataType.simpleString()}>")
     now = seeds.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), none.alias("edges"))
     now = snapshot(now)
     levels = [now.withColumn("hops", F.lit(0))] if low == 0 else []
-    settled = now.select("start", "end")
+    done = now.select("start", "end")
     for hop in range(1, high + 1):
         step = now.join(e, F.col("end") == F.col("_s")).select(
             "start", F.col("_d").alias("end"), F.array_append("nodes", F.col("_d")).alias("nodes"), F.array_append("edges", F.col("_e")).alias("edges")
         )
-        step = step.join(settled.select(F.col("start").alias("_a"), F.col("end").alias("_b")), (F.col("start") == F.col("_a")) & (F.col("end") == F.col("_b")), "left_anti")
+        step = step.join(done.select(F.col("start").alias("_a"), F.col("end").alias("_b")), (F.col("start") == F.col("_a")) & (F.col("end") == F.col("_b")), "left_anti")
         if not every:
             best = step.groupBy("start", "end").agg(F.min(F.struct("nodes", "edges")).alias("p"))
             step = best.select("start", "end", "p.nodes", "p.edges")
         now = snapshot(step)
         if now.isEmpty():
             break
-        settled = settled.unionByName(now.select("start", "end").distinct())
+        done = done.unionByName(now.select("start", "end").distinct())
         if hop >= low:
             levels.append(now.withColumn("hops", F.lit(hop)))
     if not levels:

@@ -154,7 +154,7 @@ def new_edge(engine: Engine, scope: Scope, rel: s.RelPattern, ends: tuple[str, s
 
 
 def update(mapping: NodeMapping, changes: DataFrame, column: str) -> int:
-    """Sets a column to v where the id is k; of several values for one node, one is taken."""
+    """Sets a column to v where the id is k; of several values for one node, the greatest is taken."""
     changes = snapshot(changes.where("k is not null").groupBy("k").agg(F.max(F.struct(F.col("v").isNotNull(), "v"))["v"].alias("v")))
     table = mapping.table
     joined = table.join(changes.withColumn("_hit", F.lit(True)), col(mapping.id_col) == F.col("k"), "left")
@@ -208,11 +208,12 @@ def merge(held: Column, key: str, value: Column) -> Column:
 
 
 def set_stored(engine: Engine, scope: Scope, var: NodeVar | EdgeVar, key: str = "", value: Column | None = None, labels: Column | None = None) -> int:
-    """Overwrites a property, or adds a label, of stored nodes or edges."""
+    """Overwrites a property, or adds a label, of stored nodes or edges; of several values for one, the greatest is taken, as in update."""
     store, of_nodes = engine.catalog.store, isinstance(var, NodeVar)
     assert scope.df is not None
     asked = scope.df.select(var.id.alias("k"), (value if value is not None else F.lit(None).cast("variant")).alias("v")).where("k is not null")
-    changes = snapshot(asked.dropDuplicates(["k"]).withColumn("_hit", F.lit(True)))
+    order = F.struct(F.col("v").isNotNull(), F.try_variant_get("v", "$", "double"), F.to_json("v"))
+    changes = snapshot(asked.groupBy("k").agg(F.max_by("v", order).alias("v")).withColumn("_hit", F.lit(True)))
     table = store.nodes if of_nodes else store.edges
     joined = table.join(changes, F.col("id") == F.col("k"), "left")
     if labels is not None:

@@ -126,7 +126,9 @@ class PropertyGraphStore:
             for c in rest:
                 out.note(c, dict(table.dtypes)[c])
             ends = [F.col(source).cast("bigint").alias("source_id"), F.col(target).cast("bigint").alias("target_id")]
-            got = table.select(F.xxhash64(F.lit(kind), source, target, F.monotonically_increasing_id()).alias("id"), *ends, F.lit(kind).alias("type"), props_of({c: F.col(c) for c in rest}).alias("props"))
+            # Written once: ids that hold a row's place must not be made anew by each scan.
+            numbered = snapshot(table.withColumn("_nth", F.monotonically_increasing_id()))
+            got = numbered.select(F.xxhash64(F.lit(kind), source, target, "_nth").alias("id"), *ends, F.lit(kind).alias("type"), props_of({c: F.col(c) for c in rest}).alias("props"))
             out.edges = out.edges.unionByName(got)
         return out
 
