@@ -103,7 +103,10 @@ def test_determinants_are_those_of_many_random_starts(spark):
         r = next(v for k, v in found.items() if k.startswith("2") and k.endswith(name))
         det, mean = plain_mcd(x, outliers.SUPPORT, 60, rng)
         scaled = det + outliers.P * np.log(outliers.consistency(outliers.SUPPORT))
-        # Bins take up to a sixteenth of a doubling more than the share, the floors add to the variances, and
-        # one start may end a little above the least: 1.8 of a log-determinant in six dimensions is 16 % a spread.
-        assert -0.5 < r.det - scaled < 1.8, (name, r.det, scaled)
-        assert np.allclose(r.params[: outliers.P], mean, atol=0.5), name
+        if name == "cluster":
+            # The least determinant itself takes the tight cluster in; the robust start ends at the honest documents.
+            assert r.det > scaled and np.allclose(r.params[: outliers.P], 0, atol=0.4)
+            continue
+        # Bins take up to a sixteenth of a doubling more than the share, and the floors add to the variances.
+        assert -0.3 < r.det - scaled < 0.8, (name, r.det, scaled)
+        assert np.allclose(r.params[: outliers.P], mean, atol=0.3), name
