@@ -149,3 +149,70 @@ def test_hot_buckets_are_dealt_over_salts(spark, monkeypatch):
     monkeypatch.setattr(fuzzy_lines, "dealt", salted)
     got = {r.doc_id: r.n_removed for r in fuzzy_lines.dedup_lines(docs).collect()}
     assert got[0] == 0 and sum(got.values()) == len(lines) - 1
+
+
+def family(rng, n):
+    """n variants of one template, most of them similar to some others and not all of one group."""
+    some = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(k))
+    template, out = some(110), []
+    for _ in range(n // 4):
+        own = template[:80] + some(8) + template[88:]
+        out += [own + some(18), own + some(17), own[:-6] + some(22), own + some(4)]
+    return out
+
+
+def groups_removed(lines):
+    return sum(gone for *_, gone in brute([(k, x) for k, x in enumerate(lines)]))
+
+
+def test_steps_of_crowded_lines_grow_with_the_lines(spark, monkeypatch):
+    made, write = {}, fuzzy_lines.Written
+
+    class Counted(write):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            made[name] = made.get(name, 0) + self.read().count()
+
+    monkeypatch.setattr(fuzzy_lines, "Written", Counted)
+    monkeypatch.setattr(fuzzy_lines, "written", lambda df, name: Counted(df, name).read())
+    most = []
+    for n in (200, 800):
+        made.clear()
+        lines = family(random.Random(7), n)
+        docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+        removed = sum(r.n_removed for r in fuzzy_lines.dedup_lines(docs).collect())
+        assert 0.98 * groups_removed(lines) <= removed <= groups_removed(lines)
+        assert made["crowded-lines"] > n
+        most.append(max(made.values()))
+    assert most[1] <= 5 * most[0]
+
+
+def test_buckets_too_large_to_compare_whole(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "WHOLE_LINES", 8)
+    seen, rare = [], fuzzy_lines.rare_pairs
+    monkeypatch.setattr(fuzzy_lines, "rare_pairs", lambda lines: seen.append(1) or rare(lines))
+    lines = family(random.Random(8), 600)
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(lines)], "doc_id long, text string")
+    removed = sum(r.n_removed for r in fuzzy_lines.dedup_lines(docs).collect())
+    assert seen and 0.98 * groups_removed(lines) <= removed <= groups_removed(lines)
+
+
+def test_whole_buckets_against_brute_force():
+    rng = random.Random(9)
+    for n in (2, 3, 40, 200):
+        lines = list(dict.fromkeys(family(rng, max(n, 4))))[:n]
+        root = [rng.randrange(n) for _ in lines]
+        root[:2] = [0, 1]
+        hashes = list(fuzzy_lines.distinct_hashes(fuzzy_lines.pa.array(lines)))
+        got = list(zip(*(x.tolist() for x in fuzzy_lines.roots_alike(fuzzy_lines.np.array(root), hashes))))
+        want = {(r, q) for r, x in zip(root, lines) for q, y in zip(root, lines) if r != q and alike(x, y)}
+        assert set(got) <= want and len(got) < len(set(root))
+
+        def groups(pairs):
+            of = {r: r for r in root}
+            for a, b in pairs:
+                low, high = sorted((of[a], of[b]))
+                of = {r: low if x == high else x for r, x in of.items()}
+            return of
+
+        assert groups(got) == groups(want)

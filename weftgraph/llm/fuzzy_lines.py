@@ -12,12 +12,16 @@ line, so that pairs that can't be similar end in the bucket.
 
 A line is held against the least of its bucket and the NEIGHBOURS before it: all pairs of a bucket
 of up to eight lines. One pair of each line is checked first, with the least line it meets; then all
-other pairs that are still in different groups. The lines of larger buckets that are not one connected group after that, crowded ones, get narrower bands of new
-signatures, which a pair at 0.8 meets in with probability 0.99 again, and the same steps. What is
-still crowded has all its pairs between groups looked at: two sets of the similarity share one of the
-first shingles of each, rarest first (the prefix filter), so lines meet by those shingles, and no
-pair is left out but by its sketch. The check of all pairs is the exact Jaccard similarity of the
-shingle sets. Connected components of what passes keep the first of their lines.
+other pairs that are still in different groups. Larger buckets that are not one connected group
+after that, crowded ones, are compared whole: exact counts of shared shingles for all pairs of lines
+of different groups, in one step for a bucket, which gives at most one row less than it has groups.
+A line is held against at most WHOLE_LINES others by that. Lines of buckets too large for it get
+narrower bands of new signatures, which a pair at 0.8 meets in with probability 0.99 again, and the
+same steps. What is still too large has all its pairs between groups looked at: two sets of the
+similarity share one of the first shingles of each, rarest first (the prefix filter), so lines meet
+by those shingles, and no pair is left out but by its sketch. The check of all pairs is the exact
+Jaccard similarity of the shingle sets. Connected components of what passes keep the first of their
+lines.
 
 Signatures, buckets and the exact check are Arrow functions, as DataFrame functions did not meet the
 limits (the README has their figures); lines, joins and groups are DataFrame functions.
@@ -47,6 +51,8 @@ SKETCHED, AGREE_LEAST = 32, 22
 STEP_LINES, STEP_BYTES, STEP_RUNS = 4096, 1 << 18, 1 << 20
 #: One in so many lines tells which buckets are hot; only the dealing of rows depends on it.
 HOT_SAMPLE, HOT_LEAST = 64, 4096
+#: Lines and characters of a bucket that are compared whole, and shingles that one step of that takes.
+WHOLE_LINES, WHOLE_CHARS, STEP_SHINGLES = 2048, 1 << 22, 4096
 SLOT_BITS = 18
 #: Stands after the end of a line under 5 characters; no character has this number.
 NONE = 0x110000
@@ -211,6 +217,66 @@ def hash_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(part.column, names), h], names=[*names, "h"])
 
 
+def roots_alike(root: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of roots that connect what the similar ones of these lines connect, at most one less than there are roots.
+
+    Each line comes with its distinct shingle hashes. How many two lines share are sums of products,
+    taken for all pairs at once; lines of the root that most of them have are not held against each other.
+    """
+    roots, of = np.unique(root, return_inverse=True)
+    order = np.argsort(of == np.bincount(of).argmax(), kind="stable")
+    of, n = of[order], np.array([len(hashes[k]) for k in order])
+    rest = int((of != of[-1]).sum())
+    flat = np.concatenate([hashes[k] for k in order])
+    at = np.argsort(flat, kind="stable")
+    new = np.append(True, np.diff(flat[at]) != 0)
+    # Shingles of one line alone are left out of the sums.
+    shared = ~(new & np.append(new[1:], True))
+    column, row = np.cumsum(new & shared)[shared] - 1, np.repeat(np.arange(len(n)), n)[at][shared]
+    both = np.zeros((rest, len(n)), np.float32)  # whole numbers up to WHOLE_CHARS, which this holds exactly
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, STEP_SHINGLES):
+        here = slice(*np.searchsorted(column, [low, low + STEP_SHINGLES]))
+        holds = np.zeros((len(n), STEP_SHINGLES), np.float32)
+        holds[row[here], column[here] - low] = 1
+        both += holds[:rest] @ holds.T
+    x, y = np.nonzero(both * np.float64(1 + SIMILARITY) >= SIMILARITY * (n[:rest, None] + n) - 1e-9)
+    near = np.zeros((len(roots), len(roots)), bool)
+    near[of[x], of[y]] = near[of[y], of[x]] = True
+    fresh, a, b = np.ones(len(roots), bool), [], []
+    for start in range(len(roots)):
+        reached, fresh[start] = [start] if fresh[start] else [], False
+        while reached:
+            r = reached.pop()
+            more = np.flatnonzero(near[r] & fresh)
+            fresh[more] = False
+            reached += more.tolist()
+            a.append(np.full(len(more), roots[r]))
+            b.append(roots[more])
+    return np.concatenate([*a, roots[:0]]), np.concatenate([*b, roots[:0]])
+
+
+def crowd_checker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A mapInArrow function over rows (key, root, line) in order of key: a, b of roots_alike of each bucket."""
+    names = ["a", "b"]
+    key, root, held = None, [], []
+
+    def whole() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in roots_alike(np.array(root, np.int64), held)], names=names)
+
+    for batch in batches:
+        for low in range(0, len(batch), STEP_LINES):
+            part = batch.slice(low, STEP_LINES)
+            for k, r, x in zip(part.column("key").to_pylist(), part.column("root").to_pylist(), distinct_hashes(part.column("line"))):
+                if k != key and held:
+                    yield whole()
+                    root, held = [], []
+                key = k
+                root.append(r)
+                held.append(x)
+    if held:
+        yield whole()
+
+
 def blank(line: Column) -> Column:
     return F.ltrim(line, F.lit(" \t\n\x0b\x0c\r")) == ""
 
@@ -368,12 +434,20 @@ def joined(met: DataFrame, found: DataFrame | None, line: DataFrame) -> DataFram
     return found if edges.isEmpty() else written(grouped(found, edges), "line-groups")
 
 
-def in_crowds(met: DataFrame, found: DataFrame) -> DataFrame:
-    """key, id, root of the lines in buckets not all of whose pairs were looked at and that aren't all of one group."""
-    large = met.where("key is not null").select("id", "key")
-    rooted = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    crowds = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    return written(rooted.join(crowds, "key", "left_semi"), "crowded-lines")
+def in_crowds(met: DataFrame, found: DataFrame, line: DataFrame) -> DataFrame:
+    """key, id, root of the lines in buckets not all of whose pairs were looked at and that aren't all of one group; whole: of those that can be compared at once."""
+    large = met.where("key is not null").select("id", "key").join(line.select("id", "n_chars"), "id")
+    rooted = large.join(found, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("root", "id").alias("root"), "n_chars")
+    crowds = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n"), F.sum("n_chars").alias("chars")).where("low < high")
+    whole = ((F.col("n") <= WHOLE_LINES) & (F.col("chars") <= WHOLE_CHARS)).alias("whole")
+    return written(rooted.drop("n_chars").join(crowds.select("key", whole), "key"), "crowded-lines")
+
+
+def whole_crowds(crowded: DataFrame, found: DataFrame, line: DataFrame) -> DataFrame:
+    """found with all that the lines of crowded's whole buckets connect."""
+    rows = crowded.where("whole").join(line, "id").select("key", "root", "line")
+    edges = written(rows.repartition("key").sortWithinPartitions("key").mapInArrow(crowd_checker, "a long, b long"), "line-edges")
+    return found if edges.isEmpty() else written(grouped(found, edges), "line-groups")
 
 
 def rare_pairs(lines: DataFrame) -> DataFrame:
@@ -416,16 +490,20 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
 def stays_of(docs: DataFrame) -> DataFrame:
     """d, r, stays: for each document and row, bits of the lines that stay, by line number and 63 to a part."""
     sets = written(signed(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
-    line = sets.select("id", "sketch", "line")
+    line = sets.select("id", "sketch", "line", F.length("line").alias("n_chars"))
     met = looked_at(sets.select("id", "sketch", "keys"))
     found = joined(met, None, line)
-    # What the groups leave open in buckets of more than NEIGHBOURS + 1 lines meets in narrower bands.
-    crowded = in_crowds(met, found)
+    crowded = in_crowds(met, found, line)
+    found = whole_crowds(crowded, found, line)
+    # What is too large for that meets in narrower bands.
+    crowded = crowded.where("not whole")
     if not crowded.isEmpty():
         again = line.join(crowded.select("id").distinct(), "id").mapInArrow(crowd_signer, "id long, sketch long, keys array<long>")
         met = looked_at(written(again, "crowded-keys"))
         found = joined(met, found, line)
-        crowded = in_crowds(met, found)
+        crowded = in_crowds(met, found, line)
+        found = whole_crowds(crowded, found, line)
+        crowded = crowded.where("not whole").drop("whole")
         if not crowded.isEmpty():
             more = written(rare_pairs(line.join(crowded.withColumnRenamed("key", "crowd"), "id")), "crowded-pairs")
             edges = written(similar(more, line), "line-edges")
