@@ -216,3 +216,33 @@ def test_whole_buckets_against_brute_force():
             return of
 
         assert groups(got) == groups(want)
+
+
+def test_texts_of_lines_are_written_once(spark, monkeypatch):
+    # Of the tables that the steps leave on disk, one has all lines' texts; the rest only those that met others.
+    made = {}
+
+    class Counted(fuzzy_lines.Written):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            texts = [c for c in df.columns if c == "line"]
+            made.setdefault(name, []).append((df.columns, self.read().count() if texts else 0))
+
+    monkeypatch.setattr(fuzzy_lines, "Written", Counted)
+    monkeypatch.setattr(fuzzy_lines, "written", lambda df, name: Counted(df, name).read())
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(400)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(x + "." for x in lines[:20]))], "doc_id long, text string")
+    assert [r.n_removed for r in fuzzy_lines.dedup_lines(docs).orderBy("doc_id").collect()] == [0, 20]
+    [(columns, n)] = made.pop("lines")
+    assert n == 420 and columns == ["doc_id", "row", "line_no", "line", "sketch", "keys", "id"]
+    [(_, n)] = made.pop("met-lines")
+    assert 40 <= n <= 60
+    assert all("line" not in columns for x in made.values() for columns, _ in x)
+
+
+def test_short_keys_of_bands_do_not_meet(spark):
+    # The same 32 bits in another band are another bucket; both signs come through.
+    sets = spark.createDataFrame([(1, 0, [5, -6]), (2, 0, [-6, 5]), (3, 0, [5, -7])], "id long, sketch long, keys array<int>")
+    got = {(r.id, r.key) for r in fuzzy_lines.dealt(sets).collect()}
+    assert got == {(1, 5), (1, 2**32 - 6), (2, -6), (2, 2**32 + 5), (3, 5), (3, 2**32 - 7)}

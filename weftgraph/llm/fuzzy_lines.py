@@ -128,7 +128,7 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def band_keys(values: np.ndarray, in_band: int, seed: int) -> np.ndarray:
-    """Bucket keys of signatures, one for each in_band places; no place is in two bands."""
+    """Bucket keys of signatures, 32 bits for each in_band places; no place is in two bands."""
     v, bands = values.astype(np.uint64), PLACES // in_band
     keys = np.empty((len(v), bands), np.uint64)
     for b in range(bands):
@@ -136,7 +136,7 @@ def band_keys(values: np.ndarray, in_band: int, seed: int) -> np.ndarray:
         for k in range(b, PLACES, bands):
             key = textcore.mixed(key * FACTORS[0] + v[:, k])
         keys[:, b] = key
-    return keys.view(np.int64)
+    return keys.astype(np.uint32).view(np.int32)
 
 
 def sketches(values: np.ndarray) -> np.ndarray:
@@ -152,7 +152,7 @@ def rows_of(keys: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, keys.shape[1]), pa.int32()), pa.array(flat))
 
 
-HELD = ("k1", "k2", "doc_id", "row", "line_no", "line")
+HELD = (*PLACE, "line")
 
 
 def signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,10 +289,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """The distinct lines: k1, k2, their first place, line, sketch and keys. Copies of a line meet in partial aggregates before they are shuffled."""
+    """The distinct lines: their first place, line, sketch and keys. Copies of a line meet in partial aggregates before they are shuffled."""
     lines = lines_of(docs).groupBy("k1", "k2").agg(F.min(F.struct(*PLACE)).alias("at"), F.first("line").alias("line"))
-    schema = "k1 long, k2 long, doc_id long, row long, line_no int, line string, sketch long, keys array<long>"
-    return lines.select("k1", "k2", "at.*", "line").mapInArrow(signer, schema)
+    schema = "doc_id long, row long, line_no int, line string, sketch long, keys array<int>"
+    return lines.select("at.*", "line").mapInArrow(signer, schema)
 
 
 def dealt(sets: DataFrame) -> DataFrame:
@@ -303,7 +303,9 @@ def dealt(sets: DataFrame) -> DataFrame:
     """
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = sets.select("id", "sketch", F.explode("keys").alias("key"))
+    rows = sets.select("id", "sketch", F.posexplode("keys").alias("band", "key"))
+    # A key of 32 bits is one of its band only.
+    rows = rows.select("id", "sketch", (F.col("band").cast("long") * 2**32 + F.col("key")).alias("key"))
     limit = max(HOT_LEAST, (sets.agg(F.sum(F.size("keys"))).first()[0] or 0) // (4 * parts))
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).groupBy("key").count()
     crowd = sample.where(F.col("count") * HOT_SAMPLE >= limit).select("key", F.ceil(F.col("count") * HOT_SAMPLE * 2 / limit).alias("salts"))
@@ -397,6 +399,14 @@ def looked_at(sets: DataFrame) -> DataFrame:
     return met if heads.isEmpty() else met.unionByName(meet(heads).read())
 
 
+def met_lines(sets: DataFrame, met: DataFrame) -> DataFrame:
+    """id, sketch, line, n_chars of the lines that met others; a fraction of all lines, which later joins take."""
+    ids = met.select("id").unionByName(met.where("other is not null").select(F.col("other").alias("id"))).distinct()
+    line = sets.select("id", "sketch", "line", F.length("line").alias("n_chars"))
+    # A hash table of the ids, so that the lines, the larger side by far, aren't sorted.
+    return written(line.join(ids.hint("shuffle_hash"), "id", "left_semi"), "met-lines")
+
+
 def similar(pairs: DataFrame, line: DataFrame) -> DataFrame:
     """a, b of the pairs (a, b) whose lines' shingle sets have a Jaccard similarity of at least SIMILARITY."""
     left, right = (line.select(F.col("id").alias(k), F.col("line").alias(f"line_{k}")) for k in "ab")
@@ -490,15 +500,15 @@ def rare_pairs(lines: DataFrame) -> DataFrame:
 def stays_of(docs: DataFrame) -> DataFrame:
     """d, r, stays: for each document and row, bits of the lines that stay, by line number and 63 to a part."""
     sets = written(signed(docs).withColumn("id", F.monotonically_increasing_id()), "lines")
-    line = sets.select("id", "sketch", "line", F.length("line").alias("n_chars"))
     met = looked_at(sets.select("id", "sketch", "keys"))
+    line = met_lines(sets, met)
     found = joined(met, None, line)
     crowded = in_crowds(met, found, line)
     found = whole_crowds(crowded, found, line)
     # What is too large for that meets in narrower bands.
     crowded = crowded.where("not whole")
     if not crowded.isEmpty():
-        again = line.join(crowded.select("id").distinct(), "id").mapInArrow(crowd_signer, "id long, sketch long, keys array<long>")
+        again = line.join(crowded.select("id").distinct(), "id").mapInArrow(crowd_signer, "id long, sketch long, keys array<int>")
         met = looked_at(written(again, "crowded-keys"))
         found = joined(met, found, line)
         crowded = in_crowds(met, found, line)
