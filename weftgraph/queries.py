@@ -215,7 +215,7 @@ CASES: dict[str, Case] = {
     "with_pipeline": Case("MATCH (o:Order)-[:PLACED_BY]->(c:Customer) WITH c, count(o) AS n ORDER BY n DESC, c.c_custkey LIMIT 20 MATCH (c)-[:FROM_NATION]->(m:Nation) RETURN c.c_custkey AS k, n, m.n_name AS nation", "SELECT k, n, n_name AS nation FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20) JOIN customer ON c_custkey = k JOIN nation ON c_nationkey = n_nationkey"),
     "pattern_comprehension": Case("MATCH (c:Customer) RETURN c.c_custkey AS k, size([(c)<-[:PLACED_BY]-(o:Order) WHERE o.o_totalprice > 100000 | o.o_orderkey]) AS n", "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_totalprice > 100000 GROUP BY 1"),
     "deep_property": Case("WITH {a: {b: {c: 5, d: 'x'}}} AS m RETURN m.a.b.c AS c, m.a.b.d AS d", "SELECT 5::BIGINT AS c, 'x' AS d"),
-    "set_edge": Case("MATCH (b:Buyer)-[r:LIVES_IN]->(p:Place) WHERE r.since = 0 RETURN id(b) AS k, p.name AS place, r.kind AS kind", "SELECT c_custkey AS k, n_name AS place, 'rich' AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000", None, stored, ("MATCH (b:Buyer)-[r:LIVES_IN]->(p:Place) WHERE b.balance > 9000 SET r.since = 0, r.kind = 'rich'",)),
+    "set_edge": Case("MATCH (b:Buyer)-[r:LIVES_IN]->(p:Place) WHERE r.since = 0 AND r.kind = 'rich' RETURN id(b) AS k, p.name AS place, r.kind AS kind", "SELECT c_custkey AS k, n_name AS place, 'rich' AS kind FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 9000", None, stored, ("MATCH (b:Buyer)-[r:LIVES_IN]->(p:Place) WHERE b.balance > 9000 SET r.since = 0, r.kind = 'rich'",)),
     "passed_functions": Case("MATCH (p:Part) RETURN p.p_partkey AS k, substr(p.p_name, 2, 3) AS a, pow(p.p_size, 2) AS b, iif(p.p_size > 25, 'big', 'small') AS c, greatest(p.p_size, 10) AS d, concat_ws('-', p.p_brand, 'x') AS e, json_object('s', p.p_size) AS f, typeof(p.p_retailprice) AS g", "SELECT p_partkey AS k, substr(p_name, 2, 3) AS a, pow(p_size, 2)::DOUBLE AS b, CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS c, greatest(p_size, 10)::BIGINT AS d, p_brand || '-x' AS e, '{\"s\":' || p_size || '}' AS f, 'real' AS g FROM part"),
     "time_functions": Case("FOR t IN ['2024-03-05 06:07:08', '1999-12-31 23:59:59'] RETURN strftime('%Y/%m/%d', t) AS a, julianday(t) AS b, unixepoch(t) AS c, time(t) AS d", "SELECT strftime(t, '%Y/%m/%d') AS a, epoch(t) / 86400.0 + 2440587.5 AS b, epoch(t)::BIGINT AS c, strftime(t, '%H:%M:%S') AS d FROM (VALUES (TIMESTAMP '2024-03-05 06:07:08'), (TIMESTAMP '1999-12-31 23:59:59')) v(t)"),
     "whole_node": Case("", "SELECT n_nationkey AS id, 'Nation' AS label, n_name AS name, n_regionkey AS region FROM nation"),
