@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+from weftgraph import queries
+
 from tests.test_queries import ORACLE, QUERIES, SF, TABLES, plain
 
 
@@ -30,3 +32,33 @@ def same(spark, folder, con, name):
 def test_set_edge_leaves_out_edges_that_were_zero_before(spark, tmp_path):
     folder, con = tables(tmp_path, customer="SELECT * REPLACE(CASE WHEN c_custkey % 10 = 0 THEN 0.0 WHEN c_custkey % 10 = 1 THEN 9500.0 ELSE c_acctbal END AS c_acctbal) FROM {t}")
     assert same(spark, folder, con, "set_edge") > 10
+
+
+def test_exists_with_two_outer_nodes_keeps_one_row_for_each_node(spark, tmp_path):
+    """What EXISTS holds against the outer rows doesn't grow with the pairs of customers and suppliers."""
+    changed = {"customer": "SELECT * REPLACE(CASE WHEN c_custkey % 50 = 0 THEN NULL WHEN c_custkey % 50 < 9 THEN 9999 - c_custkey % 7 * 300 ELSE c_acctbal END AS c_acctbal) FROM {t}",
+               "supplier": "SELECT t.* REPLACE(s_suppkey + 1000 * i AS s_suppkey, CASE WHEN s_nationkey = 3 THEN NULL ELSE s_acctbal END AS s_acctbal) FROM {t} t, range(50) r(i)"}
+    folder, con = tables(tmp_path, **changed)
+    assert same(spark, folder, con, "exists_two_outer") > 10
+    assert same(spark, folder, con, "exists_free_start") > 0
+    plan = QUERIES["exists_two_outer"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    semi = plan[plan.index("LeftSemi") :]
+    assert "max(" in semi and "c_acctbal" not in semi.split("Aggregate", 1)[1]
+
+
+def test_exists_comparisons_against_sql(spark, tmp_path):
+    """Every comparison with an outer value, either way round, negated and inside OR; nulls and equal values among them."""
+    numbers = "CASE WHEN {k} % 11 = 0 THEN NULL ELSE (hash({k}) % 4)::DOUBLE END"
+    changed = {"customer": "SELECT * REPLACE(" + numbers.replace("{k}", "c_custkey") + " AS c_acctbal) FROM {t}",
+               "supplier": "SELECT * REPLACE(" + numbers.replace("{k}", "s_suppkey") + " AS s_acctbal) FROM {t}"}
+    folder, con = tables(tmp_path, **changed)
+    g = queries.graph(spark, folder)
+    for op, turned in (("=", "="), ("<>", "<>"), ("<", ">"), ("<=", ">="), (">", "<"), (">=", "<=")):
+        for cond in (f"s.s_acctbal {op} c.c_acctbal", f"c.c_acctbal {turned} s.s_acctbal", f"s.s_acctbal {op} c.c_acctbal AND s.s_nationkey = c.c_nationkey"):
+            inside = f"EXISTS {{ (s:Supplier)-[:BASED_IN]->(n) WHERE {cond} }}"
+            sql = f"EXISTS (SELECT 1 FROM supplier s WHERE s_nationkey = c_nationkey AND {cond})"
+            wrapped = [(inside, sql), (f"NOT {inside}", f"NOT {sql}"), (f"c.c_custkey < 20 OR {inside}", f"c.c_custkey < 20 OR {sql}")]
+            for held, asked in wrapped if cond.startswith("c.") else wrapped[:1]:
+                got = g.compile(f"MATCH (c:Customer)-[:FROM_NATION]->(n:Nation) WHERE {held} RETURN c.c_custkey AS k")
+                want = con.sql(f"SELECT c_custkey FROM customer c WHERE {asked}").fetchall()
+                assert sorted(r.k for r in got.collect()) == sorted(k for (k,) in want), held

@@ -7,7 +7,7 @@ from typing import TYPE_CHECKING, Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.library import AGGREGATES, Typed, aggregate
+from weftgraph.functions.library import AGGREGATES, Typed, aggregate, numeric
 from weftgraph.operators import paths as hops
 from weftgraph.operators import writes
 from weftgraph.operators.patterns import Matcher
@@ -21,6 +21,10 @@ if TYPE_CHECKING:
     from pyspark.sql import SparkSession
 
 
+#: Types whose values have one order, beside numbers.
+ORDERED = ("string", "date", "timestamp", "timestamp_ntz")
+
+
 class Engine:
     """Compiles and runs statements against a catalog; writes replace the catalog's tables."""
 
@@ -141,11 +145,15 @@ class Engine:
         """Keys of the outer bindings for which a pattern has a match, and the condition that joins them.
 
         A pattern that mentions the outer query by one node only, at an end of its first path, is
-        matched on its own; any other starts from the distinct outer bindings it mentions.
+        matched on its own, as is one whose conditions only compare its values with outer ones; any
+        other starts from the distinct outer bindings it mentions.
         """
         self.based(scope)
         shared = [n for n in scope.vars if n in s.names_in((paths, where))]
         inner: Scope
+        reduced = self.compared(scope, paths, where)
+        if reduced is not None:
+            return reduced
         if len(shared) == 1 and isinstance(var := scope.vars[shared[0]], NodeVar) and not var.several and paths[0].nodes[0].var == shared[0]:
             name = shared[0]
             first = paths[0].nodes[0]
@@ -165,6 +173,75 @@ class Engine:
         renamed = {k: self.fresh("k") for k in keys}
         return inner.df.select(*[col(k).alias(r) for k, r in renamed.items()] or [F.lit(1).alias(self.fresh("k"))]), self.same(renamed)
 
+    def compared(self, scope: Scope, paths: tuple[s.PathPattern, ...], where: s.Expr | None) -> tuple[DataFrame, Column] | None:
+        """As found, where conditions compare values of the pattern with values of the outer query.
+
+        Some match is above an outer value where the greatest is, and below where the least is, so one row
+        for each node and equal values is enough, however many matches there are. None where this doesn't
+        fit: long paths, edges or values of the outer query in the pattern, more than one inequality.
+        """
+        turned = {"=": "=", "<>": "<>", "<": ">", "<=": ">=", ">": "<", ">=": "<="}
+        names = s.names_in(paths)
+        if any(r.hops is not None for p in paths for r in p.rels) or any(p.shortest or p.var in scope.vars for p in paths):
+            return None
+        anchors = [n for n in scope.vars if n in {x.var for p in paths for x in p.nodes}]
+        if len(anchors) > 1 or names & set(scope.vars) != set(anchors):
+            return None
+        own, across = [], []
+        for e in s.conjuncts(where):
+            if not s.names_in(e) & (set(scope.vars) - set(anchors)):
+                own.append(e)
+                continue
+            if not isinstance(e, s.Binary) or e.op not in turned:
+                return None
+            for mine, theirs, op in ((e.left, e.right, e.op), (e.right, e.left, turned[e.op])):
+                used = s.names_in(mine)
+                if used and used <= names and not used <= set(anchors) and s.names_in(theirs) <= set(scope.vars):
+                    across.append((mine, op, theirs))
+                    break
+            else:
+                return None
+        if not across or sum(op != "=" for _, op, _ in across) > 1 or not anchors and all(op != "=" for _, op, _ in across):
+            return None
+        if anchors:
+            anchor = scope.vars[anchors[0]]
+            if not isinstance(anchor, NodeVar) or anchor.mapping is None:
+                return None
+            label, at = anchor.mapping.label, [(k, i) for k, p in enumerate(paths) for i, n in enumerate(p.nodes) if n.var == anchors[0]]
+            k, i = at[0]
+            node = paths[k].nodes[i]
+            if node.labels and node.labels[0] != label:
+                return None
+            nodes = paths[k].nodes[:i] + (s.NodePattern(node.var, (label,) + tuple(x for x in node.labels if x != label), node.props, node.where),) + paths[k].nodes[i + 1 :]
+            paths = paths[:k] + (s.PathPattern(nodes, paths[k].rels, paths[k].var, paths[k].shortest),) + paths[k + 1 :]
+        inner = Matcher(self, Scope(), own, set(names)).match(paths)
+        here, there = Compiler(self, inner), Compiler(self, scope)
+        sides = []
+        for mine, op, theirs in across:
+            x, y = here.raw(mine), there.raw(theirs)
+            if x.retype or y.retype or not (x.kind == y.kind and x.kind in ORDERED or numeric(x.kind) and numeric(y.kind)):
+                return None
+            sides.append((x.col, op, y.col))
+        keys, on = [], F.lit(True)
+        if anchors:
+            fresh, outer = inner.vars[anchors[0]], scope.vars[anchors[0]]
+            assert isinstance(fresh, NodeVar) and isinstance(outer, NodeVar)
+            sides.insert(0, (fresh.id, "=", outer.id))
+        least: list[Column] = []
+        for mine, op, theirs in sides:
+            a, b = self.fresh("k"), self.fresh("k")
+            if op == "=":
+                keys.append(mine.alias(a))
+                on = on & (theirs == col(a))
+                continue
+            least = [F.min(mine).alias(a), F.max(mine).alias(b)]
+            low, high = col(a), col(b)
+            tests = {"<>": (low != theirs) | (high != theirs), "<": low < theirs, "<=": low <= theirs, ">": high > theirs, ">=": high >= theirs}
+            on = on & tests[op]
+        assert inner.df is not None
+        grouped = inner.df.groupBy(*keys)
+        return grouped.agg(*least) if least else inner.df.select(*keys).distinct(), on
+
     def exists_flag(self, compiler: Compiler, e: s.Exists) -> Typed:
         """EXISTS inside an expression: a left join to the distinct keys that have a match."""
         found, on = self.found(compiler.scope, e.paths, e.where)
