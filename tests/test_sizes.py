@@ -3,7 +3,11 @@
 import os
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
+
 from weftgraph import queries
+from weftgraph.operators import patterns
 
 from tests.test_queries import ORACLE, QUERIES, SF, TABLES, plain
 
@@ -62,3 +66,24 @@ def test_exists_comparisons_against_sql(spark, tmp_path):
                 got = g.compile(f"MATCH (c:Customer)-[:FROM_NATION]->(n:Nation) WHERE {held} RETURN c.c_custkey AS k")
                 want = con.sql(f"SELECT c_custkey FROM customer c WHERE {asked}").fetchall()
                 assert sorted(r.k for r in got.collect()) == sorted(k for (k,) in want), held
+
+
+@pytest.mark.parametrize("longest", [10**6, 0])
+def test_pairs_of_a_comma_pattern_are_dealt_over_tasks(spark, tmp_path, monkeypatch, longest):
+    """With the shorter side broadcast, and where it is too long for that; one nation holds most rows."""
+    monkeypatch.setattr(patterns, "PAIRS", 300)
+    monkeypatch.setattr(patterns, "LEAST_BYTES", 0)
+    monkeypatch.setattr(patterns, "BROADCAST_ROWS", longest)
+    changed = {"customer": "SELECT * REPLACE(CASE WHEN c_custkey % 3 > 0 THEN 1 WHEN c_custkey % 30 = 0 THEN NULL ELSE c_nationkey END AS c_nationkey) FROM {t}",
+               "supplier": "SELECT t.* REPLACE(s_suppkey + 1000 * i AS s_suppkey, CASE WHEN i < 30 THEN 1 ELSE s_nationkey END AS s_nationkey, s_acctbal + 3000 AS s_acctbal) FROM {t} t, range(60) r(i)"}
+    folder, con = tables(tmp_path, **changed)
+    pairs = same(spark, folder, con, "comma_bridge")
+    assert pairs > 3000
+    sizes = QUERIES["comma_bridge"](spark, folder).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < pairs / 2
+    # The bindings may be the shorter side, too, and pairs needn't be joined by equal values.
+    g = queries.graph(spark, folder)
+    got = g.compile("MATCH (s:Supplier), (c:Customer) WHERE c.c_nationkey = s.s_nationkey AND s.s_acctbal > 8000 RETURN count(*) AS n, sum(c.c_custkey * 7 + s.s_suppkey) AS t").first()
+    assert (got.n, got.t) == con.sql("SELECT count(*), sum(c_custkey * 7 + s_suppkey)::BIGINT FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 8000").fetchall()[0]
+    got = g.compile("MATCH (c:Customer), (s:Supplier) WHERE c.c_nationkey < s.s_nationkey RETURN count(*) AS n").first()
+    assert (got.n,) == con.sql("SELECT count(*) FROM customer JOIN supplier ON c_nationkey < s_nationkey").fetchall()[0]

@@ -7,15 +7,18 @@ hops, and seeds before expansions.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.functions.library import numeric
 from weftgraph.operators import paths as hops
 from weftgraph.plans import syntax as s
 from weftgraph.plans.errors import UnsupportedClause
+from weftgraph.plans.expressions import Compiler
 from weftgraph.plans.scope import EdgeVar, NodeVar, PathVar, Scope, ValueVar
 from weftgraph.sources.catalog import EdgeMapping, ForeignKeyEdge, NodeMapping, col
 
@@ -23,6 +26,16 @@ if TYPE_CHECKING:
     from weftgraph.plans.engine import Engine
 
 DEFAULT_MOST_HOPS = 10
+#: Pairs of bindings and rows that one task makes where no edge joins them, and the most tasks they are dealt over.
+PAIRS, MOST_PARTS = 10_000_000, 20_000
+#: Rows of the shorter side that are broadcast to those tasks.
+BROADCAST_ROWS = 1_000_000
+#: Product of Spark's estimates of two sides' bytes below which their pairs aren't counted.
+LEAST_BYTES = 10**9
+
+
+def size_of(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 class Matcher:
@@ -119,12 +132,62 @@ class Matcher:
         var = self.scope.vars.get(node.var)
         if var is None:
             df, var = self.scan(self.labels_for(path, i))
-            self.bind(node, var, df, None)
+            df, on = self.dealt(node, var, df)
+            self.bind(node, var, df, on)
         elif isinstance(var, NodeVar):
             self.bind(node, var, None, None)
         else:
             raise UnsupportedClause(f"{node.var} is not a node")
 
+    def dealt(self, node: s.NodePattern, var: NodeVar, df: DataFrame) -> tuple[DataFrame, Column | None]:
+        """A node that no edge joins to the bindings: where they make many pairs, these are dealt over tasks.
+
+        Pairs are counted by the values that equalities ask for. The larger side is cut into parts of about
+        PAIRS pairs, each of which meets the whole other side, broadcast; if that is too long to broadcast,
+        it is repeated for each of as many marks as the most frequent value needs, and joined by mark too.
+        Returns the node's rows, and the condition on the marks where there are any.
+        """
+        held = self.scope.df
+        if held is None or held.isStreaming or df.isStreaming or not node.var or not self.scope.vars:
+            return df, None
+        if size_of(held) * size_of(df) < LEAST_BYTES:
+            return df, None
+        waiting = self.conditions_of(node) + self.pending
+        plain = [e for e in waiting if not any(isinstance(x, (s.Exists, s.PatternComprehension)) for x in s.walk(e))]
+        inner, outer = Scope(df, {node.var: var}), self.scope.copy()
+        keys: list[tuple[Column, Column]] = []
+        for e in plain:
+            if s.names_in(e) == {node.var}:
+                self.engine.filter(inner, e)
+            elif isinstance(e, s.Binary) and e.op == "=":
+                for mine, theirs in ((e.left, e.right), (e.right, e.left)):
+                    if s.names_in(mine) == {node.var} and s.names_in(theirs) <= set(outer.vars):
+                        x, y = Compiler(self.engine, inner).raw(mine), Compiler(self.engine, outer).raw(theirs)
+                        if not x.retype and not y.retype and x.kind and (x.kind == y.kind or numeric(x.kind) and numeric(y.kind)):
+                            keys.append((y.col, x.col))
+        a, b = ([f"_{side}{k}" for k in range(len(keys))] for side in "ab")
+        assert inner.df is not None and outer.df is not None
+        left = outer.df.groupBy(*[y.alias(n) for (y, _), n in zip(keys, a)]).agg(F.count("*").alias("_m"))
+        right = inner.df.groupBy(*[x.alias(n) for (_, x), n in zip(keys, b)]).agg(F.count("*").alias("_n"))
+        on = reduce(lambda x, y: x & y, [col(x) == col(y) for x, y in zip(a, b)], F.lit(True))
+        each = F.col("_m").cast("double") * F.col("_n")
+        got = left.join(right, on).agg(F.sum(each).alias("pairs"), F.max(each).alias("most"), F.sum("_m").alias("m"), F.sum("_n").alias("n")).first()
+        parts = min(MOST_PARTS, math.ceil((got.pairs or 0) / PAIRS))
+        if parts < 2:
+            return df, None
+        larger = got.m >= got.n
+        if min(got.m, got.n) <= BROADCAST_ROWS:
+            self.scope.df = held.repartition(parts) if larger else F.broadcast(held)
+            return F.broadcast(df) if larger else df.repartition(parts), None
+        ids = [var.id] if not larger else [v.id for v in self.scope.vars.values() if isinstance(v, NodeVar)]
+        if not keys or not ids:
+            return df, None
+        marks = min(parts, math.ceil(got.most / PAIRS))
+        p, q = self.engine.fresh("z"), self.engine.fresh("z")
+        one, every = F.pmod(F.xxhash64(*ids), F.lit(marks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(marks - 1)))
+        self.scope.df = held.withColumn(p, one if larger else every).repartition(parts, *[y for y, _ in keys], col(p))
+        return df.withColumn(q, every if larger else one).repartition(parts, *[x for _, x in keys], col(q)), col(p) == col(q)
+
     # --- paths ---
 
     def match_path(self, path: s.PathPattern) -> None:
