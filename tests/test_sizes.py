@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph import queries
+from weftgraph import GraphSession, JunctionEdge, NodeMapping, queries
 from weftgraph.operators import patterns
 
 from tests.test_queries import ORACLE, QUERIES, SF, TABLES, plain
@@ -87,3 +87,21 @@ def test_pairs_of_a_comma_pattern_are_dealt_over_tasks(spark, tmp_path, monkeypa
     assert (got.n, got.t) == con.sql("SELECT count(*), sum(c_custkey * 7 + s_suppkey)::BIGINT FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_acctbal > 8000").fetchall()[0]
     got = g.compile("MATCH (c:Customer), (s:Supplier) WHERE c.c_nationkey < s.s_nationkey RETURN count(*) AS n").first()
     assert (got.n,) == con.sql("SELECT count(*) FROM customer JOIN supplier ON c_nationkey < s_nationkey").fetchall()[0]
+
+
+def test_length_of_a_path_reads_no_nodes_of_it(spark):
+    """The joins of all_shortest_paths carry ends and lengths only; no edges are written by levels."""
+    got = QUERIES["all_shortest_paths"](spark, SF)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "nodes" not in plan and "hops" in plan
+
+
+def test_shortest_paths_of_one_type_keep_their_edges(spark):
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (1, 4), (4, 3), (3, 5), (5, 1)], "a long, b long")
+    g = GraphSession(spark)
+    g.register_node(NodeMapping("Stop", spark.createDataFrame([(k,) for k in range(1, 6)], "sid long"), "sid"))
+    g.register_edge(JunctionEdge("LEADS", "Stop", "Stop", pairs, "a", "b"))
+    got = g.compile("MATCH p = allShortestPaths((x:Stop {sid: 1})-[:LEADS*1..4]-(y:Stop)) RETURN y.sid AS y, length(p) AS n, size(relationships(p)) AS m, relationships(p)[0].labels[0] AS t, [q IN nodes(p) | q.id] AS via")
+    have = sorted((r.y, r.n, r.m, r.t, tuple(r.via)) for r in got.collect())
+    assert have == [(2, 1, 1, "LEADS", ("1", "2")), (3, 2, 2, "LEADS", ("1", "2", "3")), (3, 2, 2, "LEADS", ("1", "4", "3")), (3, 2, 2, "LEADS", ("1", "5", "3")), (4, 1, 1, "LEADS", ("1", "4")), (5, 1, 1, "LEADS", ("1", "5"))]
+    assert [tuple(r) for r in g.compile("MATCH p = shortestPath((x:Stop {sid: 2})-[:LEADS*0..2]->(y:Stop)) RETURN y.sid AS y, length(p) AS n ORDER BY y").collect()] == [(2, 0), (3, 1), (5, 2)]

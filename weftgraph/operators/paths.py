@@ -42,12 +42,13 @@ def expand(seeds: DataFrame, edges: DataFrame, low: int, high: int) -> DataFrame
     return out
 
 
-def shortest(seeds: DataFrame, edges: DataFrame, low: int, high: int, every: bool) -> DataFrame:
+def shortest(seeds: DataFrame, edges: DataFrame, low: int, high: int, every: bool, only: str | None = None) -> DataFrame:
     """Paths of the fewest hops from each seed to each node it reaches; one of them, or every one.
 
     Breadth first by levels: a pair of seed and node is settled at the first level that reaches it,
-    and only new pairs go on. Of several paths, one is the least by its nodes. Shapes as in expand.
-    With low above 1, pairs count as settled from low hops on, so all paths up to high are looked at.
+    and only new pairs go on; a node on the path itself was, and is dropped before pairs are. Of several paths, one is the least by its nodes. Shapes as in expand.
+    only: the type of all edges where they are mapped and of one type; levels then carry no edges, which
+    are made from the nodes at the end. With low above 1, pairs count as settled from low hops on, so all paths up to high are looked at.
     """
     if low > 1:
         paths = expand(seeds, edges, low, high)
@@ -61,28 +62,29 @@ def shortest(seeds: DataFrame, edges: DataFrame, low: int, high: int, every: boo
     e = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d"), F.struct("type", "eid").alias("_e"))
     none = F.array().cast(f"array<{e.schema['_e'].dataType.simpleString()}>")
     now = seeds.select("start", F.col("start").alias("end"), F.array("start").alias("nodes"), none.alias("edges"))
-    now = snapshot(now)
+    carried = ["nodes"] if only else ["nodes", "edges"]
+    now = snapshot(now.select("start", "end", *carried))
     levels = [now.withColumn("hops", F.lit(0))] if low == 0 else []
     done = now.select("start", "end")
     for hop in range(1, high + 1):
-        step = now.join(e, F.col("end") == F.col("_s")).select(
-            "start", F.col("_d").alias("end"), F.array_append("nodes", F.col("_d")).alias("nodes"), F.array_append("edges", F.col("_e")).alias("edges")
-        )
+        longer = [F.array_append(c, F.col(x)).alias(c) for c, x in zip(carried, ("_d", "_e"))]
+        step = now.join(e, F.col("end") == F.col("_s")).where(~F.array_contains("nodes", F.col("_d"))).select("start", F.col("_d").alias("end"), *longer)
         step = step.join(done.select(F.col("start").alias("_a"), F.col("end").alias("_b")), (F.col("start") == F.col("_a")) & (F.col("end") == F.col("_b")), "left_anti")
         if not every:
-            best = step.groupBy("start", "end").agg(F.min(F.struct("nodes", "edges")).alias("p"))
-            step = best.select("start", "end", "p.nodes", "p.edges")
+            best = step.groupBy("start", "end").agg(F.min(F.struct(*carried)).alias("p"))
+            step = best.select("start", "end", *[f"p.{c}" for c in carried])
         now = snapshot(step)
         if now.isEmpty():
             break
         done = done.unionByName(now.select("start", "end").distinct())
         if hop >= low:
             levels.append(now.withColumn("hops", F.lit(hop)))
-    if not levels:
-        return now.where(F.lit(False)).withColumn("hops", F.lit(0))
-    out = levels[0]
+    out = levels[0] if levels else now.where(F.lit(False)).withColumn("hops", F.lit(0))
     for level in levels[1:]:
         out = out.unionByName(level)
+    if only:
+        edge = F.struct(F.lit(only).alias("type"), F.lit(None).cast(e.schema["_e"].dataType["eid"].dataType).alias("eid"))
+        out = out.withColumn("edges", F.transform(F.slice("nodes", F.lit(2), F.size("nodes") - 1), lambda _: edge))
     return out
 
 

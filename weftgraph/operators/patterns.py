@@ -195,6 +195,7 @@ class Matcher:
         at = bound[0] if bound else 0
         self.start(path, at)
         steps: dict[int, Column] = {}
+        self.lengths: list[Column] = []
         for i in range(at, len(path.rels)):
             steps[i] = self.hop(path, i, True)
         for i in range(at - 1, -1, -1):
@@ -203,10 +204,11 @@ class Matcher:
             parts = [self.node_step(path.nodes[0])]
             for i in range(len(path.rels)):
                 parts += [steps[i], self.node_step(path.nodes[i + 1])]
-            name = self.engine.fresh("p")
+            name, length = self.engine.fresh("p"), self.engine.fresh("n")
+            total = reduce(lambda a, b: a + b, self.lengths, F.lit(len(path.rels) - len(self.lengths)))
             assert self.scope.df is not None
-            self.scope.df = self.scope.df.withColumn(name, F.concat(*parts))
-            self.scope.vars[path.var] = PathVar(name)
+            self.scope.df = self.scope.df.withColumns({name: F.concat(*parts), length: total.cast("bigint")})
+            self.scope.vars[path.var] = PathVar(name, length)
 
     def node_step(self, node: s.NodePattern) -> Column:
         var = self.scope.vars[node.var or ""]
@@ -343,7 +345,8 @@ class Matcher:
         """A variable-length or shortest segment: distinct seeds are expanded, then joined back."""
         low, high = rel.hops or (1, None)
         most = DEFAULT_MOST_HOPS if high is None else high
-        edges, var = self.edges(rel, self.mapped(rel, left, target, labels), way)
+        mapped = self.mapped(rel, left, target, labels)
+        edges, var = self.edges(rel, mapped, way)
         if rel.props or rel.where is not None:
             inner = Scope(edges, {rel.var or "": var})
             for e in self.conditions_of(rel):
@@ -354,11 +357,13 @@ class Matcher:
         assert self.scope.df is not None
         seeds = self.scope.df.select(left.id.alias("start")).where("start is not null").distinct()
         if path.shortest:
-            found = hops.shortest(seeds, e, low, most, path.shortest == "all")
+            only = mapped[0].type if len(mapped) == 1 and set(rel.types) <= {mapped[0].type} else None
+            found = hops.shortest(seeds, e, low, most, path.shortest == "all", only)
         else:
             found = hops.expand(seeds, e, low, most)
         prefix = self.engine.fresh("h") + "_"
         found = found.select(*[col(c).alias(prefix + c) for c in ("start", "end", "hops", "nodes", "edges")])
+        self.lengths.append(col(prefix + "hops"))
         self.scope.join(found, left.id == col(prefix + "start"))
         if rel.var:
             self.scope.vars[rel.var] = ValueVar(prefix + "edges")

@@ -389,7 +389,7 @@ class Compiler:
         if isinstance(var, PathVar) and e.name in ("length", "nodes", "relationships"):
             steps = col(var.name)
             if e.name == "length":
-                return Typed(((F.size(steps) - 1) / 2).cast("bigint"), "bigint")
+                return Typed(col(var.hops), "bigint")
             kind = "node" if e.name == "nodes" else "edge"
             return Typed(F.filter(steps, lambda x: x["type"] == kind), self.scope.dtype(var.name))
         if e.name == "local_graph":

@@ -69,6 +69,7 @@ class ValueVar:
 @dataclass
 class PathVar:
     name: str  # of the column: array of struct(type, id, labels)
+    hops: str  # of the column of its length, which needs no steps
 
 
 Var = NodeVar | EdgeVar | ValueVar | PathVar
@@ -87,7 +88,7 @@ class Scope:
         assert self.df is not None
         if isinstance(var, (NodeVar, EdgeVar)):
             return [c for c in self.df.columns if c.startswith(var.prefix)]
-        return [var.name]
+        return [var.name, var.hops] if isinstance(var, PathVar) else [var.name]
 
     def key_columns(self, var: Var) -> list[str]:
         """Columns that tell one binding of a variable from another."""
